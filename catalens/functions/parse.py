@@ -18,8 +18,12 @@ SPACES = (
 # Texts that count as true.
 TRUE_TEXTS = ("true", "1", "t")
 
+# A decimal number; digits may be grouped by single underscores.
 _NUMBER = (
-    r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
+    r"^\s*[+-]?("
+    r"(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?"
+    r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN]"
+    r")\s*$"
 )
 _DATE = r"^\s*\d{1,6}([-/])\d{1,2}\1\d{1,2}"
 
@@ -33,20 +37,20 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(trim_spaces(text), F.lit(""))
 
 
-def _without_separators(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
+def _number_text(text: Column) -> Column:
+    """The text without digit separators if it has the shape of a number."""
+    return F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")))
 
 
 def parse_double(text: Column) -> Column:
-    plain = _without_separators(text)
-    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
+    return _number_text(text).try_cast("double")
 
 
 def parse_long(text: Column) -> Column:
     """Whole number; fractions and exponents are read and rounded half up."""
-    plain = _without_separators(text)
-    rounded = F.round(plain.try_cast("decimal(38,18)")).try_cast("bigint")
-    return F.coalesce(plain.try_cast("bigint"), rounded)
+    number = _number_text(text)
+    rounded = F.round(number.try_cast("decimal(38,18)")).try_cast("bigint")
+    return F.coalesce(number.try_cast("bigint"), rounded)
 
 
 def parse_date(text: Column) -> Column:

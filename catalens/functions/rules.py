@@ -13,7 +13,7 @@ _ASCII_EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Z
 
 
 def null_or_between(value: Column, low, high) -> Column:
-    return value.isNull() | value.between(low, high)
+    return F.coalesce(value.between(low, high), F.lit(True))
 
 
 def matches_any(text: Column, patterns) -> Column:
