@@ -118,12 +118,11 @@ CLEANING: dict[str, Query] = {
     ),
     "clean_full": lambda spark, sf_dir: cleaning.clean(raw_catalog(spark, sf_dir), LIMITS),
     "clean_diagnostics": _on_raw(
-        lambda raw: cleaning.diagnostics(raw, LIMITS), "id title release_date revenue"
+        lambda raw: cleaning.diagnostics(raw, LIMITS), "title release_date revenue"
     ),
     "cleaning_summary": lambda spark, sf_dir: cleaning.cleaning_summary(
-        raw_catalog(spark, sf_dir, "title", "release_date", "revenue"),
+        cleaning.diagnostics(raw_catalog(spark, sf_dir, "title", "release_date", "revenue"), LIMITS),
         cleaning.clean(raw_catalog(spark, sf_dir), LIMITS),
-        LIMITS,
     ),
 }
 

@@ -191,25 +191,20 @@ def diagnostics(raw: DataFrame, limits: CleanRules = CleanRules()) -> DataFrame:
     )
 
 
-def cleaning_summary(
-    raw: DataFrame, cleaned: DataFrame, limits: CleanRules = CleanRules()
-) -> DataFrame:
-    """Rows in, rows out and the reasons, as one row."""
-    clean_rows = cleaned.agg(F.count("*")).scalar()
-    raw_rows = F.col("raw_rows")
-    return (
-        diagnostics(raw, limits)
-        .withColumn("clean_rows", clean_rows)
-        .select(
-            raw_rows,
-            "clean_rows",
-            (raw_rows - F.col("clean_rows")).alias("dropped_rows"),
-            F.when(raw_rows > 0, F.round(F.lit(100.0) * F.col("clean_rows") / raw_rows, 2))
-            .otherwise(0.0)
-            .alias("pct_kept"),
-            "missing_title",
-            F.col("bad_date").alias("bad_or_missing_date"),
-            F.col("spam_title").alias("spam_titles"),
-            "over_cap_revenue",
-        )
+def cleaning_summary(found: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """Rows in, rows out and the reasons, as one row.
+
+    `found` is the row of `diagnostics`, `cleaned` the clean table.
+    """
+    raw_rows, clean_rows = F.col("raw_rows"), F.col("clean_rows")
+    kept = F.round(F.lit(100.0) * clean_rows / raw_rows, 2)
+    return found.withColumn("clean_rows", cleaned.agg(F.count("*")).scalar()).select(
+        raw_rows,
+        clean_rows,
+        (raw_rows - clean_rows).alias("dropped_rows"),
+        F.when(raw_rows > 0, kept).otherwise(0.0).alias("pct_kept"),
+        "missing_title",
+        F.col("bad_date").alias("bad_or_missing_date"),
+        F.col("spam_title").alias("spam_titles"),
+        "over_cap_revenue",
     )

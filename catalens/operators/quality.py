@@ -26,11 +26,11 @@ class Check(NamedTuple):
     detail: Column  # over the measures
 
 
-def _row_floor(name: str, floor: int) -> Check:
+def _row_floor(name: str, floor: int, counted: str | None = None) -> Check:
     n = F.col(name)
     return Check(
         name,
-        {name: F.count("*")},
+        {name: F.sum(counted) if counted else F.count("*")},
         n >= floor,
         F.concat(F.format_number(n, 0), F.lit(f" rows (floor {floor:,})")),
     )
@@ -140,6 +140,14 @@ def check_raw(
     return run_checks(rows, "raw", checks)
 
 
+def check_raw_counted(
+    columns: Iterable[str], found: DataFrame, limits: QualityRules = QualityRules()
+) -> DataFrame:
+    """The raw gate over the diagnostics row, which has the row count already."""
+    checks = [_required_columns(columns, limits), _row_floor("min_raw_rows", limits.min_raw_rows, "raw_rows")]
+    return run_checks(found, "raw", checks)
+
+
 def failures(report: DataFrame) -> DataFrame:
     return report.filter(~F.col("passed"))
 
