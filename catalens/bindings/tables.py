@@ -69,7 +69,8 @@ def _line_measures(spark: SparkSession, sf_dir: str, needed: set[str]) -> DataFr
         part = table(spark, sf_dir, "part")
         lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     measures = {
-        "budget": lambda: F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"),
+        # Prices are in cents: whole numbers add up to the same sum in any order.
+        "budget": lambda: F.sum(F.rint(F.col("l_extendedprice") * 100).cast("bigint")) / 100,
         "runtime": lambda: F.sum("l_quantity"),
         "vote_average": lambda: F.sum("l_quantity") / F.count("*") / 5,
         "title": lambda: F.min("p_name"),
