@@ -13,14 +13,10 @@ from pyspark.sql import types as T
 
 from catalens.schema import ANALYSIS_COLUMNS, CLEAN_SCHEMA, text_schema
 
-# Quotes inside quoted text are doubled, and texts may hold line breaks. With
-# multiLine a file is one task, so a large raw table should arrive as many files.
-_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+# Quotes inside quoted text are doubled.
+_CSV = {"header": True, "quote": '"', "escape": '"'}
 # Blanks around a value are data: leave them to the cleaning rules.
-_CSV_WRITE = {
-    "header": True, "quote": '"', "escape": '"',
-    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
-}
+_CSV_WRITE = {**_CSV, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,9 +37,16 @@ def raw_schema(spark: SparkSession, path: str) -> T.StructType:
     return text_schema(spark.read.options(**_CSV).csv(path).columns)
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """The raw file as text columns; lines with a wrong number of fields are skipped."""
-    reader = spark.read.options(**_CSV, mode="DROPMALFORMED")
+def read_raw_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True
+) -> DataFrame:
+    """The raw files as text columns; lines with a wrong number of fields are skipped.
+
+    Where texts hold line breaks a file cannot be split, so each file is one
+    task and a large table should arrive as many files. Where they do not, set
+    `line_breaks=False` and Spark splits large files by itself.
+    """
+    reader = spark.read.options(**_CSV, mode="DROPMALFORMED", multiLine=line_breaks)
     return reader.schema(schema or raw_schema(spark, path)).csv(path)
 
 

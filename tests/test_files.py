@@ -49,6 +49,19 @@ def test_raw_csv_follows_the_header_and_skips_bad_lines(spark, tmp_path):
     assert back.count() == back.agg(F.count("*")).first()[0] == 3
 
 
+def test_files_without_line_breaks_are_split(spark, raw_frame, folder):
+    raw = raw_frame(*[row(id=i, title=f'T "{i}", ok') for i in range(200)])
+    files.write_raw_csv(raw.coalesce(1), f"{folder}/raw")
+    assert files.read_raw_csv(spark, f"{folder}/raw").rdd.getNumPartitions() == 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        split = files.read_raw_csv(spark, f"{folder}/raw", line_breaks=False)
+        assert split.rdd.getNumPartitions() > 1
+        assert as_set(split) == as_set(raw)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_clean_table(spark, four, folder):
     path = f"{folder}/clean"
     assert files.read_clean_if_present(spark, path) is None

@@ -58,6 +58,13 @@ def test_rank_per_group_keeps_all_ties(spark):
     assert ranking.rank_per_group(frame, "grp", "val", 1).count() == 3000
 
 
+def test_rank_per_group_prunes_before_the_shuffle(spark):
+    plan = ranking.rank_per_group(data(spark), "grp", "val", 3)._jdf.queryExecution().executedPlan()
+    lines = plan.toString().splitlines()
+    first_exchange = max(i for i, line in enumerate(lines) if "hashpartitioning(grp" in line)
+    assert any("WindowGroupLimit" in line and "Partial" in line for line in lines[first_exchange:])
+
+
 @pytest.mark.parametrize("size", [0, 1, 40, 41, 400])
 def test_neighbours(spark, size):
     frame = data(spark, size)
