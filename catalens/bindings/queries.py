@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,24 @@ SELECTION = Slice(
 )
 
 
-def _on_catalog(report: Callable[..., DataFrame], columns: str, **options) -> Query:
-    return lambda spark, sf_dir: report(catalog(spark, sf_dir, *columns.split()), **options)
+@dataclass(frozen=True)
+class CatalogReport:
+    """A report bound to the columns of the catalog frame that it reads."""
+
+    report: Callable[..., DataFrame]
+    columns: tuple[str, ...]
+    options: dict
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.over(catalog(spark, sf_dir, *self.columns))
+
+    def over(self, rows: DataFrame) -> DataFrame:
+        """The report over any frame in the clean layout, such as a stored table."""
+        return self.report(rows, **self.options)
+
+
+def _on_catalog(report: Callable[..., DataFrame], columns: str, **options) -> CatalogReport:
+    return CatalogReport(report, tuple(columns.split()), options)
 
 
 def _on_raw(step: Callable[[DataFrame], DataFrame], columns: str) -> Query:
@@ -438,7 +455,7 @@ _SELECTED = "release_year vote_count genres original_language"
 
 def _on_selection(panel: Callable[[DataFrame], DataFrame], columns: str) -> Query:
     names = dict.fromkeys(f"{_SELECTED} {columns}".split())
-    return lambda spark, sf_dir: panel(slices.select(catalog(spark, sf_dir, *names), SELECTION))
+    return _on_catalog(lambda rows: panel(slices.select(rows, SELECTION).select(*names)), " ".join(names))
 
 
 SLICES: dict[str, Query] = {
