@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # percentile_approx misses a rank by at most rows / ACCURACY; the bracket around
@@ -11,35 +13,45 @@ ACCURACY = 20_000
 MARGIN = 5 / ACCURACY
 
 
-def exact_median(rows: DataFrame, column: str) -> DataFrame:
-    """One row, one column `median`; NULLs are ignored, no values give NULL.
+def aggregate_with_median(
+    rows: DataFrame, column: str, name: str, aggregates: Iterable[Column] = ()
+) -> DataFrame:
+    """One row: the aggregates, and the exact median of `column` as `name`.
 
-    An approximate sketch brackets the middle. Everything outside the bracket is
-    only counted; inside it the rows are counted per distinct value. The last
-    step orders that small table and reads the middle one or two values.
+    The first pass takes the aggregates and, with a sketch, a bracket around the
+    middle. The second pass counts the rows on both sides of the bracket and,
+    inside it, the rows per distinct value. Ordering that small table gives the
+    middle one or two values. NULLs are ignored; no values give NULL.
     """
-    values = rows.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    bracket = values.agg(
-        F.percentile_approx("v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("q")
-    )
-    low, high = bracket.scalar()[0], bracket.scalar()[1]
+    value = F.col(column).cast("double")
+    sketch = F.percentile_approx(value, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
+    first = rows.agg(*aggregates, sketch.alias("_bracket"))
+    # One subquery for the bracket and the output, so the first pass runs once.
+    row = first.select(F.struct("*")).scalar()
+    low, high = row["_bracket"][0], row["_bracket"][1]
 
     zone = F.when(F.col("v") < low, 0).when(F.col("v") <= high, 1).otherwise(2)
     counts = (
-        values.select(zone.alias("zone"), "v")
+        rows.select(value.alias("v"))
+        .filter("v IS NOT NULL")
+        .select(zone.alias("zone"), "v")
         .groupBy("zone", F.when(F.col("zone") == 1, F.col("v")).alias("v"))
         .agg(F.count("*").alias("n"))
     )
-    everything = Window.partitionBy()
     so_far = Window.orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.select(
-        "v", "n", F.sum("n").over(so_far).alias("upto"), F.sum("n").over(everything).alias("total")
-    )
-    lower_half = F.col("upto") >= F.floor((F.col("total") + 1) / 2)
-    upper_half = F.col("upto") >= F.floor(F.col("total") / 2) + 1
-    return placed.agg(
-        (
-            (F.min_by("v", F.when(lower_half, F.col("upto"))) + F.min_by("v", F.when(upper_half, F.col("upto"))))
-            / 2
-        ).alias("median")
+        "v", F.sum("n").over(so_far).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total")
     )
+
+    def value_at(position: Column) -> Column:
+        return F.min_by("v", F.when(F.col("upto") >= position, F.col("upto")))
+
+    lower, upper = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    median = placed.agg(((value_at(lower) + value_at(upper)) / 2).alias("median"))
+    names = [c for c in first.columns if c != "_bracket"]
+    return median.select(*[row[c].alias(c) for c in names], F.col("median").alias(name))
+
+
+def exact_median(rows: DataFrame, column: str) -> DataFrame:
+    """One row, one column `median`."""
+    return aggregate_with_median(rows, column, "median")

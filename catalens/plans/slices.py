@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions import buckets, rules
-from catalens.operators.median import exact_median
+from catalens.operators.median import aggregate_with_median
 from catalens.operators.tags import explode_tags
 from catalens.operators.topk import descending, top_n
 from catalens.params import ReportRules, Slice
@@ -57,11 +57,11 @@ def select(rows: DataFrame, chosen: Slice = Slice()) -> DataFrame:
 def kpis(selected: DataFrame, limits: ReportRules = DEFAULT) -> DataFrame:
     """Count, mean rating, median runtime and credible revenue of the selection."""
     revenue = F.when(rules.credible(limits.financial_votes), F.col("revenue"))
-    return selected.agg(
+    return aggregate_with_median(selected, "runtime", "median_runtime", [
         F.count("*").alias("movie_count"),
         F.round(F.avg("vote_average"), 2).alias("avg_rating"),
         F.round(F.sum(revenue) / 1e9, 1).alias("total_revenue_b"),
-    ).withColumn("median_runtime", F.round(exact_median(selected, "runtime").scalar(), 0))
+    ]).withColumn("median_runtime", F.round("median_runtime", 0))
 
 
 def per_year(selected: DataFrame) -> DataFrame:

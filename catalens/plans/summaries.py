@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions import buckets, rules
-from catalens.operators.median import exact_median
+from catalens.operators.median import aggregate_with_median
 from catalens.operators.tags import explode_tags
 from catalens.operators.topk import descending, top_n
 from catalens.params import ReportRules
@@ -32,14 +32,15 @@ def _if_credible(value: str, limits: ReportRules) -> Column:
 
 def summary_kpis(rows: DataFrame, limits: ReportRules = DEFAULT) -> DataFrame:
     """One row of headline figures; all NULL or 0 for an empty table."""
-    return rows.agg(
+    revenue = F.coalesce(F.sum(_if_credible("revenue", limits)), F.lit(0.0))
+    return aggregate_with_median(rows, "runtime", "median_runtime", [
         F.count("*").alias("total_movies"),
         F.min("release_year").alias("year_min"),
         F.max("release_year").alias("year_max"),
         F.round(F.avg("vote_average"), 2).alias("avg_rating"),
         F.count_if(rules.credible(limits.financial_votes)).alias("movies_with_financials"),
-        F.round(F.coalesce(F.sum(_if_credible("revenue", limits)), F.lit(0.0)) / 1e9, 1).alias("total_revenue_b"),
-    ).withColumn("median_runtime", exact_median(rows, "runtime").scalar())
+        F.round(revenue / 1e9, 1).alias("total_revenue_b"),
+    ])
 
 
 def top_rated(rows: DataFrame, limits: ReportRules = DEFAULT) -> DataFrame:
