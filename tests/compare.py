@@ -85,7 +85,7 @@ def main(argv=None) -> int:
                 print(f"----  {key:28s} {ours.num_rows:6d} rows {took:6.2f}s  no oracle")
                 continue
             start = time.perf_counter()
-            theirs = con.execute(oracles[key]).to_arrow_table()
+            theirs = con.sql(oracles[key]).to_arrow_table()
             problem = difference(ours, theirs)
             rows = ours.num_rows
         except Exception as error:  # report and go on with the next key

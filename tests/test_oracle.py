@@ -23,7 +23,7 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("key", QUERIES)
 def test_query_equals_oracle(spark, tables, key):
     ours = QUERIES[key](spark, SF_DIR).toArrow()
-    theirs = tables.execute(ORACLES[key]).to_arrow_table()
+    theirs = tables.sql(ORACLES[key]).to_arrow_table()
     assert difference(ours, theirs) is None
     assert ours.num_rows > 0
 
