@@ -25,7 +25,11 @@ _NUMBER = (
     r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN]"
     r")\s*$"
 )
-_DATE = r"^\s*\d{1,6}([-/])\d{1,2}\1\d{1,2}"
+# Year, month and day with one kind of separator; a time of day may follow.
+_DATE = (
+    r"^\s*(\d{1,7}([-/\\ ])\d{1,2}\2\d{1,2})"
+    r"(\s*|(T|\s+)([01]?\d|2[0-3]):([0-5]?\d)?(:([0-5]?\d(\.\d*)?)?)?(Z|\s.*|[+-]\d{2}(:?\d{2})?)?)$"
+)
 
 
 def trim_spaces(text: Column) -> Column:
@@ -54,9 +58,10 @@ def parse_long(text: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """Year, month and day, all three, split by '-' or '/'."""
-    dashed = F.translate(text, "/", "-")
-    return F.when(text.rlike(_DATE), dashed.try_cast("date"))
+    """Year, month and day, all three, split by '-', '/', a backslash or a blank."""
+    dashed = F.translate(F.regexp_extract(text, _DATE, 1), "/\\ ", "---")
+    # Spark wants four digits of a year.
+    return F.coalesce(dashed.try_cast("date"), F.concat(F.lit("000"), dashed).try_cast("date"))
 
 
 def parse_flag(text: Column) -> Column:

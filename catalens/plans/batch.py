@@ -19,6 +19,8 @@ from catalens.sources import files
 
 
 class BatchResult(NamedTuple):
+    """The frames are read back from what was written, except a skipped summary."""
+
     cleaned: DataFrame
     summary: DataFrame
     report: DataFrame
@@ -55,16 +57,17 @@ def run_batch(
     reused = files.read_clean_if_present(spark, clean_path) if reuse_clean else None
     if reused is None:
         cleaned = files.materialise(cleaning.clean(raw, limits), clean_path)
-        summary = cleaning.cleaning_summary(found, cleaned)
+        summary = files.materialise(cleaning.cleaning_summary(found, cleaned), f"{out_dir}/summary")
         files.write_report_csv(summary, tables, "cleaning_summary")
     else:
         cleaned, summary = reused, _skipped_summary(spark)
 
     analysed = files.read_clean(spark, clean_path)
     report = raw_report.unionByName(quality.check_clean(analysed, gates))
+    report = files.materialise(report, f"{out_dir}/validation")
     quality.enforce(report, gates)
 
-    kpis = summaries.summary_kpis(analysed, reports)
+    kpis = files.materialise(summaries.summary_kpis(analysed, reports), f"{out_dir}/kpis")
     outputs = {**summaries.run_eda(analysed, reports), "kpis": kpis, "validation": report}
     paths = {name: files.write_report_csv(rows, tables, name) for name, rows in outputs.items()}
     return BatchResult(cleaned, summary, report, kpis, paths)

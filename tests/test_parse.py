@@ -38,7 +38,9 @@ def test_date(spark):
     day = dt.date(2005, 6, 1)
     cases = {
         "2005-06-01": day, "2005-6-1": day, "2005/06/01": day, " 2005-06-01 ": day,
-        "2005-06-01 10:00:00": day, "2005": None, "2005-06": None, "2005-13-01": None,
+        "2005-06-01 10:00:00": day, "2005-06-01T10:00Z": day, "2005 06 01": day, "2005\\06\\01": day,
+        "5-6-1": dt.date(5, 6, 1), "2005-06-01 25:00:00": None, "2005-06-01T": None,
+        "2005-06-01 later": None, "2005-06-01x": None, "2005.06.01": None, "2005": None, "2005-06": None, "2005-13-01": None,
         "2005/06-01": None, "not-a-date": None, "": None, None: None,
     }
     assert values(spark, parse.parse_date, cases) == list(cases.values())
