@@ -409,12 +409,15 @@ QUALITY = {
     "dq_unique_id": f"{_TYPED} {_unique('typed')}",
     "dq_report": f"""{_CLEAN}, report AS ({_all(_RAW_GATE + _clean_gate('clean'))}),
 lines AS (SELECT gate, passed,
-                 '  ' || CASE WHEN passed THEN 'ok ' ELSE 'XX ' END || name || ': ' || detail AS line
+                 list_position(['required_columns', 'min_raw_rows', 'min_clean_rows', 'no_null_id',
+                                'no_null_title', 'no_null_release_date', 'rating_in_range',
+                                'runtime_non_negative', 'unique_id'], name) AS position,
+                 '  ' || CASE WHEN passed THEN 'ok  ' ELSE 'XX  ' END || name || ': ' || detail AS line
           FROM report)
 SELECT gate, bool_and(passed) AS ok, count(*) FILTER (WHERE NOT passed) AS failing,
        CASE WHEN bool_and(passed) THEN '[PASS] ' ELSE '[FAIL] ' END || gate || ' ('
        || count(*) FILTER (WHERE NOT passed) || ' failing)' || chr(10)
-       || string_agg(line, chr(10) ORDER BY line) AS summary
+       || string_agg(line, chr(10) ORDER BY position) AS summary
 FROM lines GROUP BY gate""",
     "dq_enforce": f"{_TYPED} {_all(_clean_gate('typed'))}",
 }

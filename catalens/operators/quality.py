@@ -19,6 +19,13 @@ class ValidationError(Exception):
     """A gate failed and the rules ask for a hard failure."""
 
 
+# Names of all checks, in the order a summary lists them.
+CHECK_NAMES = (
+    "required_columns", "min_raw_rows", "min_clean_rows", "no_null_id", "no_null_title",
+    "no_null_release_date", "rating_in_range", "runtime_non_negative", "unique_id",
+)
+
+
 class Check(NamedTuple):
     name: str
     measures: dict[str, Column]  # aggregates, by a name unique to the check
@@ -154,11 +161,13 @@ def failures(report: DataFrame) -> DataFrame:
 
 def verdict(report: DataFrame) -> DataFrame:
     """Per gate: did everything pass, how many failed, and a readable summary."""
-    mark = F.when(F.col("passed"), "ok ").otherwise("XX ")
+    mark = F.when(F.col("passed"), "ok  ").otherwise("XX  ")
     line = F.concat(F.lit("  "), mark, F.col("name"), F.lit(": "), F.col("detail"))
     failing = F.count_if(~F.col("passed"))
+    position = F.array_position(F.array(*map(F.lit, CHECK_NAMES)), F.col("name"))
     # A gate has a handful of checks, so the list stays tiny.
-    lines = F.array_join(F.sort_array(F.collect_list(line)), "\n")
+    in_order = F.sort_array(F.collect_list(F.struct(position.alias("position"), line.alias("line"))))
+    lines = F.array_join(in_order["line"], "\n")
     return report.groupBy("gate").agg(
         F.bool_and("passed").alias("ok"),
         failing.alias("failing"),

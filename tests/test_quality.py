@@ -25,7 +25,10 @@ def test_good_frame_passes(four, low_gates):
     assert quality.failures(report).count() == 0
     (total,) = quality.verdict(report).collect()
     assert (total.ok, total.failing) == (True, 0)
-    assert total.summary.startswith("[PASS] clean (0 failing)\n")
+    assert total.summary.splitlines()[:3] == [
+        "[PASS] clean (0 failing)", "  ok  min_clean_rows: 4 rows (floor 1)",
+        "  ok  no_null_id: 0 nulls",
+    ]
 
 
 @pytest.mark.parametrize(
