@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import chat, shards, tokencount, tokenfile, warc
+from catalens.llm import chat, decontaminate, mixing, quality, shards, tokencount, tokenfile, warc
 from catalens.llm.store import materialise
 from catalens.llm.vocab import read_vocabulary
 
@@ -34,6 +34,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.parse_conversations(materialise(chat.format_conversations(turns))))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
     return placed.select(
@@ -47,10 +51,21 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, folder)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed, _ = mixing.mix(documents)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), read_vocabulary(VOCABULARY))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_warc, op2_chat, op4_shards, op6_tokens, op8_tokencount]
+    own = [op1_warc, op2_chat, op3_decontaminate, op4_shards, op6_tokens, op7_mixing, op8_tokencount, op10_quality]
     return {f.__name__: f for f in own}

@@ -70,8 +70,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -
 
 def word_hashes(texts: pa.Array, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z lower-cased, and where each text's words begin."""
-    data, offsets = text_bytes(texts)
-    hashes, firsts, seen, at = [], np.zeros(len(offsets), np.int64), 0, 0
+    hashes, _, firsts = words_of(*text_bytes(texts), separators)
+    return hashes, firsts
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `word_hashes`, with the words' lengths in bytes."""
+    hashes, lengths, firsts, seen, at = [], [], np.zeros(len(offsets), np.int64), 0, 0
     while at < len(data):
         end = min(at + SLICE, len(data))
         while end < len(data):
@@ -89,10 +94,23 @@ def word_hashes(texts: pa.Array, separators: np.ndarray = SPACES) -> tuple[np.nd
         sums[0] = 0
         np.cumsum(_LOWERED[part] * up, out=sums[1:])
         hashes.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        lengths.append(ends - starts)
         firsts[low:high] = seen + np.searchsorted(starts, own)
         seen, at = seen + len(starts), end
     firsts[offsets >= at] = seen
-    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), firsts
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), firsts
+    return np.concatenate(hashes), np.concatenate(lengths), firsts
+
+
+def slices(texts: pa.Array, size: int = 4 << 20):
+    """(start, stop) of runs of texts of about `size` bytes, one text at least."""
+    _, offsets = text_bytes(texts)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
+        yield start, min(stop, len(texts))
+        start = stop
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -108,3 +109,59 @@ def test_token_counts(result, documents):
     for r in rows:
         n = len(expected[r["doc_id"]])
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(documents[r["doc_id"]].encode()), n, n > 1024)
+
+
+def words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+
+
+def test_decontamination(result, documents):
+    plain = lambda text: " ".join(re.sub(r"[\x00-\x7F]", lambda m: m[0] if m[0].isalnum() else " ", text.lower()).split())
+    items = {r["item_id"]: plain(r["text"]) for r in table("benchmark")}
+    copies = {(d, i) for d, text in documents.items() for i, item in items.items() if f" {item} " in f" {plain(text)} "}
+    rows = result("op3_decontaminate")
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["score"] == 1.0} == copies
+    for r in rows:
+        own = plain(documents[r["doc_id"]]).split()[r["first_word"] : r["end_word"]]
+        item = items[r["item_id"]].split()
+        assert len(set(own) & set(item)) >= 0.4 * len(set(item))
+
+
+def test_mixing(result):
+    own = table("documents")
+    sizes = {r["doc_id"]: len(words(r["text"] or "")) for r in own}
+    source = {r["doc_id"]: r["source"] for r in own}
+    names = sorted(set(source.values()), key=lambda s: (s is None, s))
+    total = {s: sum(n for d, n in sizes.items() if source[d] == s) for s in names}
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, free = {}, set(names)
+    while True:
+        left = sum(total.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * total[s]]
+        if not over:
+            break
+        target |= {s: 3 * total[s] for s in over}
+        free -= set(over)
+    target |= share
+    rows, taken = result("op7_mixing"), Counter()
+    assert sorted(r["doc_id"] for r in rows) == sorted(sizes)
+    for r in rows:
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (sizes[r["doc_id"]], total[s])
+        assert r["target"] == pytest.approx(target[s])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 64 for s in names)
+
+
+def test_quality(spark):
+    rows = [r.asDict() for r in bound.op10_quality(spark, "/root/testdata/sf0.01").collect()]
+    quality = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
+    assert len(rows) == 1000
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    unseen = [(r["predicted"], quality[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in quality]
+    assert sum(p == q for p, q in unseen) >= 0.95 * len(unseen)
+    bad = [p for p, q in unseen if q == 0]
+    assert sum(bad) <= 0.2 * len(bad)
