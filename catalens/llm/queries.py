@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import chat, decontaminate, mixing, quality, shards, tokencount, tokenfile, warc
+from catalens.llm import chat, decontaminate, minhash, mixing, quality, shards, tokencount, tokenfile, warc
 from catalens.llm.store import materialise
 from catalens.llm.vocab import read_vocabulary
 
@@ -46,6 +46,11 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.write_tokens(_table(spark, sf_dir, "documents"), read_vocabulary(VOCABULARY), end_id=2)
     return tokenfile.read_tokens(spark, folder)
@@ -67,5 +72,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_warc, op2_chat, op3_decontaminate, op4_shards, op6_tokens, op7_mixing, op8_tokencount, op10_quality]
+    own = [op1_warc, op2_chat, op3_decontaminate, op4_shards, op5_minhash, op6_tokens, op7_mixing, op8_tokencount, op10_quality]
     return {f.__name__: f for f in own}

@@ -113,3 +113,27 @@ def running_total(rows: DataFrame, order: list[str], value: Column, before: str)
         .withColumn(before, F.coalesce(F.sum("_value").over(inside), F.lit(0)) + F.col("_offset"))
         .drop("_range", "_value", "_offset")
     )
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups out of batches sorted by their first `keys` columns."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        last = [held.column(k)[held.num_rows - 1] for k in range(keys)]
+        if all(held.column(k)[0] == last[k] for k in range(keys)):
+            continue
+        low, high = 0, held.num_rows - 1  # first row of the last group
+        while low < high:
+            middle = (low + high) // 2
+            if all(held.column(k)[middle] == last[k] for k in range(keys)):
+                high = middle
+            else:
+                low = middle + 1
+        yield held.slice(0, low).combine_chunks()
+        held = held.slice(low)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()

@@ -165,3 +165,38 @@ def test_quality(spark):
     assert sum(p == q for p, q in unseen) >= 0.95 * len(unseen)
     bad = [p for p, q in unseen if q == 0]
     assert sum(bad) <= 0.2 * len(bad)
+
+
+def brute_components(texts, n, percent):
+    sets = {}
+    for d, text in texts.items():
+        own = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(text)]
+        sets[d] = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if len(own) >= n else ({tuple(own)} if own else set())
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if x and y and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
+                both = len(x & y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    r, s = sorted((root(a), root(b)))
+                    parent[s] = r
+    return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def test_near_duplicates(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
+    expected = brute_components(texts, 2, 80)
+    rows = bound.op5_minhash(spark, sf).collect()
+    assert len(rows) == len(texts)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == expected
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+    assert len({c for _, c in expected.values()}) < len(texts)
