@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import chat, decontaminate, minhash, mixing, quality, shards, tokencount, tokenfile, warc
+from catalens.llm import chat, decontaminate, minhash, mixing, nndescent, quality, shards, tokencount, tokenfile, warc
 from catalens.llm.store import materialise
 from catalens.llm.vocab import read_vocabulary
 
@@ -66,11 +66,17 @@ def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), read_vocabulary(VOCABULARY))
 
 
+def op9_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = nndescent.build(embeddings, kept=6)
+    return nndescent.nearest(index, embeddings, embeddings.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_warc, op2_chat, op3_decontaminate, op4_shards, op5_minhash, op6_tokens, op7_mixing, op8_tokencount, op10_quality]
+    own = [op1_warc, op2_chat, op3_decontaminate, op4_shards, op5_minhash, op6_tokens, op7_mixing, op8_tokencount, op9_nndescent, op10_quality]
     return {f.__name__: f for f in own}
