@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,13 +223,15 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float =
     """The rows of `documents` that hold no test item, with all their columns."""
     out = documents
     for items in blocks(benchmark, documents, block_bytes):
-        held = documents.sparkSession.sparkContext.broadcast(items)
+        out = out.where(_clean(documents.sparkSession.sparkContext.broadcast(items), threshold)(_lower(F.col("text"))))
+    return out
 
-        @F.arrow_udf(T.BooleanType())
-        def clean(texts: pa.Array, held=held) -> pa.Array:
-            keep = np.ones(len(texts), bool)
-            keep[[t for t, *_ in held.value.matches(texts, threshold)]] = False
-            return pa.array(keep)
 
-        out = out.where(clean(_lower(F.col("text"))))
-    return out
+def _clean(held: Broadcast, threshold: float):
+    @F.arrow_udf(T.BooleanType())
+    def clean(texts: pa.Array) -> pa.Array:
+        keep = np.ones(len(texts), bool)
+        keep[[t for t, *_ in held.value.matches(texts, threshold)]] = False
+        return pa.array(keep)
+
+    return clean
