@@ -279,7 +279,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, steps: int = 64) -> Dat
     """
     pivots = index.points.orderBy(F.xxhash64("point", F.lit(SEED))).limit(PIVOTS).select("point", "vector").collect()
     if not pivots:
-        return queries.select("query", F.lit(0).cast("long").alias("point")).limit(0)
+        return queries.select("query", "vector", F.lit(0).cast("long").alias("point")).limit(0)
     pivot_ids = np.array([p[0] for p in pivots])
     pivot_units = np.stack([_unit(p[1]) for p in pivots])
 
