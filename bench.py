@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from catalens.bindings.queries import CatalogReport, queries
 from catalens.bindings.tables import catalog
 from catalens.session import session
-from catalens.sources.files import materialise, shared_folder
+from catalens.sources.files import materialise, remove, shared_folder
 
 HEADLINE = (
     "clean_full clean_diagnostics dq_enforce sink_parquet "
@@ -60,7 +60,8 @@ def main() -> None:
         print(f"{key:28s} {direct[key]:7.3f}", file=sys.stderr, flush=True)
 
     start = time.perf_counter()
-    table = materialise(catalog(spark, sf_dir), shared_folder(spark))
+    folder = shared_folder(spark)
+    table = materialise(catalog(spark, sf_dir), folder)
     build = round(time.perf_counter() - start, 3)
     stored: dict[str, float] = {}
     for key in keys:
@@ -68,6 +69,8 @@ def main() -> None:
             stored[key] = timed(lambda: available[key].over(table), repeat)
             print(f"{key:28s} {stored[key]:7.3f} stored", file=sys.stderr, flush=True)
 
+    remove(spark, folder)
+
     print(json.dumps({
         "metric": "headline queries from source tables, total of medians",
         "value": round(sum(direct.values()), 3),

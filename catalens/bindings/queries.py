@@ -13,9 +13,10 @@ from catalens.bindings.tables import catalog, raw_catalog
 from catalens.functions import rules
 from catalens.operators import cleaning, quality
 from catalens.operators.tags import explode_tags
-from catalens.params import CleanRules, QualityRules, Slice
+from catalens.params import CleanRules, QualityRules, ReportRules, Slice
 from catalens.plans import catalogue, early, slices, summaries
-from catalens.schema import ANALYSIS_COLUMNS, CLEAN_COLUMNS, CLEAN_SCHEMA
+from catalens.plans.batch import clean_or_reuse
+from catalens.schema import ANALYSIS_COLUMNS, CLEAN_COLUMNS, CLEAN_SCHEMA, RAW_COLUMNS
 from catalens.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 LIMITS = CleanRules()
 GATES = QualityRules()
 
+# Lists and floors small enough that the test tables go over or under them.
+FEW = ReportRules(top_n=3, min_language_rows=3)
+LANGUAGE_ROWS = 3_000
+
 # What the searches look for in the test tables.
 TITLE_PHRASE, KEYWORD_PHRASE, OVERVIEW_PHRASE = "widget", "Brand#12", "the"
 # Whole tags in another case, a part of a tag ("mall"), and a tag without a row.
@@ -148,8 +153,11 @@ CLEANING: dict[str, Query] = {
 
 
 def _raw_file(spark: SparkSession, sf_dir: str) -> str:
+    """The raw table as CSV, and beside it a file with a line of too few fields."""
     path = files.shared_folder(spark)
     files.write_raw_csv(raw_catalog(spark, sf_dir), path)
+    broken = spark.createDataFrame([(",".join(RAW_COLUMNS) + "\n1,two,3",)], "line string")
+    broken.coalesce(1).write.mode("append").text(path)
     return path
 
 
@@ -158,7 +166,10 @@ def _scan_raw_csv(spark, sf_dir):
 
 
 def _raw_schema(spark, sf_dir):
-    schema = files.raw_schema(spark, _raw_file(spark, sf_dir))
+    """The header is all that is read, so all that is written."""
+    path = files.shared_folder(spark)
+    files.write_raw_csv(raw_catalog(spark, sf_dir).limit(1), path)
+    schema = files.raw_schema(spark, path)
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(schema, start=1)]
     return spark.createDataFrame(rows, "position int, column_name string, column_type string")
 
@@ -195,16 +206,63 @@ def _materialise_clean(spark, sf_dir):
 
 
 def _reuse_clean(spark, sf_dir):
-    path = _clean_file(spark, sf_dir)
-    return files.read_clean_if_present(spark, path).select(*ANALYSIS_COLUMNS)
+    """Two runs that may reuse a clean table: none is there, so it is built; then it is taken."""
+    path = files.shared_folder(spark)
+    raw = files.materialise(raw_catalog(spark, sf_dir), files.shared_folder(spark))
+    found = cleaning.diagnostics(raw, LIMITS)
+    counts = ["raw_rows", "clean_rows", "dropped_rows", "pct_kept"]
+    outcomes = []
+    for number in (1, 2):
+        cleaned, summary = clean_or_reuse(raw, found, path, LIMITS, reuse=True)
+        note = F.col("note") if "note" in summary.columns else F.lit("")
+        outcomes.append(summary.select(
+            F.lit(number).alias("run"), *counts, note.alias("note"), F.lit(cleaned.count()).cast("bigint").alias("table_rows")
+        ))
+    return reduce(DataFrame.unionByName, outcomes)
+
+
+def _stored_catalog(spark, sf_dir):
+    """The analysed columns, written once for the many reports over them."""
+    return files.materialise(catalog(spark, sf_dir, *ANALYSIS_COLUMNS), files.shared_folder(spark))
+
+
+# What of each summary table goes into the common layout: label, n, x, y.
+_COMMON = {
+    "top_rated": ("title", "vote_count", "vote_average", None),
+    "top_revenue": ("title", None, "revenue", "budget"),
+    "top_roi": ("title", None, "revenue", "budget"),
+    "genre_stats": ("genre", "movie_count", "avg_rating", None),
+    "yearly_trend": ("release_year", "movie_count", "avg_revenue", "avg_budget"),
+    "runtime_buckets": ("bucket", "movie_count", "avg_rating", None),
+    "language_stats": ("original_language", "movie_count", "avg_rating", None),
+    "monthly_releases": ("release_month", "movie_count", None, None),
+}
+
+
+def _common(tables: dict[str, DataFrame]) -> DataFrame:
+    """The contents of all summary tables in one layout; means to four places."""
+    def number(column, kind):
+        value = (F.lit(None) if column is None else F.col(column)).cast(kind)
+        return F.round(value, 4) if kind == "double" else value
+
+    return reduce(DataFrame.unionByName, [
+        tables[name].select(
+            F.lit(name).alias("table_name"), F.col(label).cast("string").alias("label"),
+            number(n, "bigint").alias("n"), number(x, "double").alias("x"), number(y, "double").alias("y"),
+        )
+        for name, (label, n, x, y) in _COMMON.items()
+    ])
 
 
 def _sink_table_csv(spark, sf_dir):
-    """Every summary table goes out as CSV; the genre table is read back."""
+    """Every summary table goes out as CSV and is read back."""
     folder = files.shared_folder(spark)
-    tables = summaries.run_eda(catalog(spark, sf_dir, *ANALYSIS_COLUMNS))
+    tables = summaries.run_eda(_stored_catalog(spark, sf_dir))
     paths = {name: files.write_report_csv(rows, folder, name) for name, rows in tables.items()}
-    return spark.read.schema(tables["genre_stats"].schema).csv(paths["genre_stats"], header=True)
+    return _common({
+        name: spark.read.schema(rows.schema).csv(paths[name], header=True, quote='"', escape='"', multiLine=True)
+        for name, rows in tables.items()
+    })
 
 
 def _sink_cleaning_summary(spark, sf_dir):
@@ -252,14 +310,20 @@ def _check_typed(columns: str, *names: str) -> Query:
 def _gates(spark, sf_dir):
     """Both gates over one report: the raw rows and what cleaning made of them."""
     raw = raw_catalog(spark, sf_dir)
-    before = quality.check_raw(raw, GATES)
+    found = cleaning.diagnostics(raw, LIMITS)
+    before = quality.check_raw_counted(raw.columns, found, GATES)
     return before.unionByName(quality.check_clean(cleaning.clean(raw, LIMITS), GATES))
 
 
+def _required_columns(spark, sf_dir):
+    """The raw gate over the whole header, and over one that lacks two names."""
+    raw = raw_catalog(spark, sf_dir)
+    fewer = quality.check_raw(raw.drop("title", "budget"), GATES, only=["required_columns"])
+    return quality.check_raw(raw, GATES).unionByName(fewer)
+
+
 QUALITY: dict[str, Query] = {
-    "dq_required_columns": lambda spark, sf_dir: quality.check_raw(
-        files.read_raw_csv(spark, _raw_file(spark, sf_dir)), GATES
-    ),
+    "dq_required_columns": _required_columns,
     "dq_min_raw_rows": _on_raw(
         lambda raw: quality.check_raw(raw, GATES, only=["min_raw_rows"]), "id"
     ),
@@ -284,13 +348,15 @@ _CREDIBLE = "vote_count has_financials"
 
 
 def _run_eda(spark, sf_dir):
-    """Row count of every summary table."""
-    tables = summaries.run_eda(catalog(spark, sf_dir, *ANALYSIS_COLUMNS))
-    counts = [
-        rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-        for name, rows in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    """The contents of every summary table, over one stored frame."""
+    return _common(summaries.run_eda(_stored_catalog(spark, sf_dir)))
+
+
+def _rounded(report: Callable[..., DataFrame], **digits: int) -> Callable[..., DataFrame]:
+    """Means of doubles depend on the order of rows in their last digits: compare fewer."""
+    return lambda rows, **options: report(rows, **options).withColumns(
+        {name: F.round(name, n) for name, n in digits.items()}
+    )
 
 
 SUMMARIES: dict[str, Query] = {
@@ -310,16 +376,18 @@ SUMMARIES: dict[str, Query] = {
         summaries.top_roi, f"id title budget revenue roi release_year {_CREDIBLE}"
     ),
     "eda_genre_stats": _on_catalog(summaries.genre_stats, "genres vote_count vote_average"),
-    "eda_yearly_trend": _on_catalog(summaries.yearly_trend, f"release_year revenue budget {_CREDIBLE}"),
+    "eda_yearly_trend": _on_catalog(_rounded(summaries.yearly_trend, avg_revenue=4, avg_budget=4), f"release_year revenue budget {_CREDIBLE}"),
     "eda_runtime_buckets": _on_catalog(summaries.runtime_buckets, "runtime vote_average vote_count"),
-    "eda_language_stats": _on_catalog(summaries.language_stats, "original_language vote_average"),
+    "eda_language_stats": _on_catalog(
+        summaries.language_stats, "original_language vote_average", limits=FEW
+    ),
     "eda_monthly_releases": _on_catalog(summaries.monthly_releases, "release_month"),
     "run_eda": _run_eda,
     "feed_movies_per_year": _on_catalog(summaries.feed_movies_per_year, "release_year"),
     "feed_money_millions": _on_catalog(
-        summaries.feed_money_millions, f"release_year revenue budget {_CREDIBLE}"
+        _rounded(summaries.feed_money_millions, avg_revenue_m=9, avg_budget_m=9), f"release_year revenue budget {_CREDIBLE}"
     ),
-    "feed_top_genres": _on_catalog(summaries.feed_top_genres, "genres vote_count vote_average"),
+    "feed_top_genres": _on_catalog(summaries.feed_top_genres, "genres vote_count vote_average", n=4),
     "feed_runtime_rating": _on_catalog(summaries.feed_runtime_rating, "runtime vote_average vote_count"),
     "feed_top_revenue": _on_catalog(summaries.feed_top_revenue, f"id title revenue {_CREDIBLE}"),
     "feed_monthly": _on_catalog(summaries.feed_monthly, "release_month"),
@@ -344,11 +412,11 @@ CATALOGUE: dict[str, Query] = {
         catalogue.flops, f"id title budget revenue profit release_year {_CREDIBLE}"
     ),
     "q03_primary_genre_count": _on_catalog(catalogue.primary_genre_count, "primary_genre"),
-    "q03_genre_stats": _on_catalog(catalogue.genre_stats, "genres vote_count vote_average"),
-    "q03_genre_revenue": _on_catalog(catalogue.genre_revenue, f"genres revenue {_CREDIBLE}"),
-    "q04_top_languages": _on_catalog(catalogue.top_languages, "original_language"),
+    "q03_genre_stats": _on_catalog(catalogue.genre_stats, "genres vote_count vote_average", min_rows=7_000),
+    "q03_genre_revenue": _on_catalog(catalogue.genre_revenue, f"genres revenue {_CREDIBLE}", min_rows=6_500),
+    "q04_top_languages": _on_catalog(catalogue.top_languages, "original_language", n=3),
     "q04_language_rating": _on_catalog(
-        catalogue.language_rating, "original_language vote_average vote_count"
+        catalogue.language_rating, "original_language vote_average vote_count", min_rows=LANGUAGE_ROWS
     ),
     "q04_top_countries": _on_catalog(catalogue.top_countries, "production_countries"),
     "q05_runtime_category": _on_catalog(catalogue.runtime_categories, "runtime vote_average"),
@@ -356,7 +424,7 @@ CATALOGUE: dict[str, Query] = {
     "q05_longest": _on_catalog(catalogue.longest, "id title runtime vote_average release_year"),
     "q06_per_year": _on_catalog(catalogue.per_year, "release_year"),
     "q06_most_popular_per_year": _on_catalog(
-        catalogue.most_popular_per_year, "id title popularity release_year"
+        catalogue.most_popular_per_year, "id title popularity release_year", n=5
     ),
     "q06_per_month": _on_catalog(catalogue.per_month, "release_month"),
     "q07_title_search": _on_catalog(
@@ -373,13 +441,13 @@ CATALOGUE: dict[str, Query] = {
         catalogue.above_average, "id title vote_average vote_count release_year"
     ),
     "q08_language_top": _on_catalog(
-        catalogue.top_per_language, "id title original_language vote_average vote_count"
+        catalogue.top_per_language, "id title original_language vote_average vote_count", n=3
     ),
     "q08_revenue_percentile": _on_catalog(catalogue.revenue_percentile, f"id title revenue {_CREDIBLE}"),
     "q09_rank_dense_rank": _on_catalog(catalogue.rank_and_dense_rank, "id title vote_average vote_count"),
     "q09_genre_rank": _on_catalog(catalogue.genre_rank, f"id title primary_genre revenue {_CREDIBLE}"),
     "q09_top_per_year": _on_catalog(
-        catalogue.top_per_year, "id title release_year vote_average vote_count"
+        catalogue.top_per_year, "id title release_year vote_average vote_count", n=5
     ),
     "q09_decade_dense_top3": _on_catalog(
         catalogue.decade_top3, "id title release_decade vote_average vote_count"
@@ -395,7 +463,7 @@ CATALOGUE: dict[str, Query] = {
 
 EARLY: dict[str, Query] = {
     "l_top_rated_dates": _on_catalog(
-        early.top_rated_dates, "id title vote_average vote_count release_date"
+        catalogue.top_rated, "id title vote_average vote_count release_date", when="release_date"
     ),
     "l_top10_per_decade": _on_catalog(
         early.top_rated_per_decade, "id title vote_average vote_count release_date"
@@ -409,9 +477,9 @@ EARLY: dict[str, Query] = {
         early.listed_genre_rating, "genres vote_average vote_count", names=LISTED_TAGS
     ),
     "l_tracked_genre_revenue": _on_catalog(early.listed_genre_revenue, "genres revenue", names=LISTED_TAGS),
-    "l_languages_nonnull": _on_catalog(early.top_languages, "original_language"),
+    "l_languages_nonnull": _on_catalog(early.top_languages, "original_language", n=3),
     "l_language_rating": _on_catalog(
-        catalogue.language_rating, "original_language vote_average vote_count"
+        catalogue.language_rating, "original_language vote_average vote_count", min_rows=LANGUAGE_ROWS
     ),
     "l_countries_nonempty": _on_catalog(early.top_countries, "production_countries"),
     "l_runtime_category": _on_catalog(catalogue.runtime_categories, "runtime vote_average"),
@@ -421,22 +489,27 @@ EARLY: dict[str, Query] = {
     "l_longest_capped": _on_catalog(early.longest_capped, "id title runtime vote_average release_date"),
     "l_shortest_features": _on_catalog(early.shortest_features, "id title runtime vote_average release_date"),
     "l_per_year": _on_catalog(early.per_year, "release_date"),
-    "l_most_popular_per_year": _on_catalog(early.most_popular_per_year, "id title popularity release_date"),
+    "l_most_popular_per_year": _on_catalog(early.most_popular_per_year, "id title popularity release_date", n=5),
     "l_month_name": _on_catalog(early.per_month_name, "release_date"),
     "l_title_search": _on_catalog(
-        early.title_search, "id title vote_average vote_count release_date overview", phrase=TITLE_PHRASE
+        catalogue.title_search, "id title vote_average vote_count release_date overview",
+        phrase=TITLE_PHRASE, when="release_date",
     ),
     "l_overview_search": _on_catalog(
-        early.overview_search, "id title vote_average release_date overview", phrase=OVERVIEW_PHRASE
+        catalogue.overview_search, "id title vote_average release_date overview",
+        phrase=OVERVIEW_PHRASE, when="release_date",
     ),
     "l_keyword_search": _on_catalog(
-        early.keyword_search, "id title keywords vote_average vote_count release_date", phrase=KEYWORD_PHRASE
+        catalogue.keyword_search, "id title keywords vote_average vote_count release_date",
+        phrase=KEYWORD_PHRASE, when="release_date",
     ),
     "l_longest_titles": _on_catalog(early.longest_titles, "id title release_date"),
     "l_shortest_titles": _on_catalog(early.shortest_titles, "id title vote_average release_date"),
-    "l_above_average": _on_catalog(early.above_average, "id title vote_average vote_count release_date"),
+    "l_above_average": _on_catalog(
+        catalogue.above_average, "id title vote_average vote_count release_date", when="release_date"
+    ),
     "l_language_top": _on_catalog(
-        catalogue.top_per_language, "id title original_language vote_average vote_count"
+        catalogue.top_per_language, "id title original_language vote_average vote_count", n=3
     ),
     "l_revenue_percentile": _on_catalog(early.revenue_percentile, "id title revenue"),
     "l_profit_top10": _on_catalog(early.top_revenue_with_profit, "id title revenue budget"),
@@ -461,13 +534,13 @@ def _on_selection(panel: Callable[[DataFrame], DataFrame], columns: str) -> Quer
 SLICES: dict[str, Query] = {
     "slice_bounds": _on_catalog(slices.bounds, "release_year"),
     "slice_genre_domain": _on_catalog(slices.genre_domain, "genres"),
-    "slice_language_domain": _on_catalog(slices.language_domain, "original_language"),
+    "slice_language_domain": _on_catalog(slices.language_domain, "original_language", n=3),
     "slice_filter": _on_selection(lambda rows: rows, "id title"),
     "slice_kpis": _on_selection(slices.kpis, "vote_average runtime revenue has_financials"),
     "slice_per_year": _on_selection(slices.per_year, ""),
     "slice_rating_histogram": _on_selection(slices.rating_histogram, "vote_average"),
-    "slice_top_genres": _on_selection(slices.top_genres, ""),
-    "slice_money_trend": _on_selection(slices.money_trend, "revenue budget has_financials"),
+    "slice_top_genres": _on_selection(lambda rows: slices.top_genres(rows, n=4), ""),
+    "slice_money_trend": _on_selection(_rounded(slices.money_trend, avg_revenue=4, avg_budget=4), "revenue budget has_financials"),
     "slice_top_rated": _on_selection(slices.top_rated, "id title vote_average primary_genre"),
     "slice_top_grossing": _on_selection(
         slices.top_grossing, "id title revenue budget profit has_financials"

@@ -39,6 +39,9 @@ _RAW_SOURCES = (
     "spoken_languages", "keywords", "overview",
 )
 
+# How the flag is written, by the id's remainder.
+ADULT_TEXTS = ("True", "1", "f", " TRUE ", "", "t", "no")
+
 # Table layouts. A known schema saves one footer-reading job per scan.
 _TABLES = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
@@ -116,7 +119,10 @@ def catalog(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         "popularity": key * 104729 % 100000 / 100,
         "adult": F.lit(False),
         "original_language": F.col("c_mktsegment"),
-        "genres": F.col("genres"),
+        # Some tags with a tab before or a line break after them.
+        "genres": F.when(key % 17 == 0, F.replace("genres", F.lit(", "), F.lit(",\t")))
+        .when(key % 19 == 0, F.concat("genres", F.lit("\n")))
+        .otherwise(F.col("genres")),
         "production_countries": F.col("n_name"),
         "spoken_languages": F.col("lang"),
         "keywords": F.col("keywords"),
@@ -180,11 +186,11 @@ def raw_catalog(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         ),
         "vote_count": votes.cast("string"),
         "status": F.col("status"),
-        "release_date": F.when(every(41), "not-a-date").when(every(37), "").otherwise(text("release_date")),
+        "release_date": F.when(every(41), "not-a-date").when(every(37), "").when(every(83), "1700-01-01").otherwise(text("release_date")),
         "revenue": F.when(every(47), "0").when(every(43), "4999999999999").otherwise(money("revenue")),
-        "runtime": F.when(every(59), "-5").otherwise(text("runtime")),
-        "adult": text("adult"),
-        "budget": F.when(every(47), "0").otherwise(money("budget")),
+        "runtime": F.when(every(59), "-5").when(every(89), "5000").otherwise(text("runtime")),
+        "adult": F.get(F.array(*map(F.lit, ADULT_TEXTS)), (F.col("id") % len(ADULT_TEXTS)).cast("int")),
+        "budget": F.when(every(47), "0").when(every(97), "9999999999999").otherwise(money("budget")),
         "original_language": F.when(every(67), "").otherwise(F.col("original_language")),
         "original_title": F.col("title"),
         "overview": F.col("overview"),

@@ -15,6 +15,8 @@ SPACES = (
     "              "
     "  　"
 )
+# All characters that count as white space in Unicode, line breaks and tabs included.
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Texts that count as true.
 TRUE_TEXTS = ("true", "1", "t")
 
@@ -37,6 +39,11 @@ def trim_spaces(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def trim_white_space(text: Column) -> Column:
+    """Strip white space of every kind from both ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(trim_spaces(text), F.lit(""))
 
@@ -51,9 +58,14 @@ def parse_double(text: Column) -> Column:
 
 
 def parse_long(text: Column) -> Column:
-    """Whole number; fractions and exponents are read and rounded half up."""
+    """Whole number; fractions and exponents are read and rounded half up.
+
+    Digits beyond the 18th of a fraction are left out first: rounding to 18 digits
+    could lift a fraction to one half, leaving digits out cannot.
+    """
     number = _number_text(text)
-    rounded = F.round(number.try_cast("decimal(38,18)")).try_cast("bigint")
+    shortened = F.regexp_replace(number, r"(\.\d{18})\d+", "$1")
+    rounded = F.round(shortened.try_cast("decimal(38,18)")).try_cast("bigint")
     return F.coalesce(number.try_cast("bigint"), rounded)
 
 

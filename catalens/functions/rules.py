@@ -65,12 +65,3 @@ def first_token(text: Column) -> Column:
 def credible(votes_floor: int) -> Column:
     """Both money columns are known and enough people voted."""
     return F.col("has_financials") & (F.col("vote_count") >= votes_floor)
-
-
-def exact_mean(value: Column) -> Column:
-    """Mean of a money column, the same in whatever order the rows arrive.
-
-    The sum is kept in DECIMAL (four places), so a rerun, another partitioning
-    or a recomputed task cannot change the last digits.
-    """
-    return F.sum(value.cast("decimal(22,4)")).cast("double") / F.count(value)

@@ -1,4 +1,4 @@
-"""Exact median without holding all values in one task."""
+"""Exact medians of columns with few and with many distinct values."""
 
 from __future__ import annotations
 
@@ -11,47 +11,59 @@ from pyspark.sql import functions as F
 # the middle is several times wider than that.
 ACCURACY = 20_000
 MARGIN = 5 / ACCURACY
+# Distinct values that may be ordered in one task.
+SMALL = 100_000
+
+
+def _known(column: str) -> Column:
+    """The value as a double; NULL and NaN count as no value."""
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def aggregate_with_median(
     rows: DataFrame, column: str, name: str, aggregates: Iterable[Column] = ()
 ) -> DataFrame:
-    """One row: the aggregates, and the exact median of `column` as `name`.
+    """One row: the aggregates, and the exact median of `column` as `name`, in one pass.
 
-    The first pass takes the aggregates and, with a sketch, a bracket around the
-    middle. The second pass counts the rows on both sides of the bracket and,
-    inside it, the rows per distinct value. Ordering that small table gives the
-    middle one or two values. NULLs are ignored; no values give NULL.
+    For columns with few distinct values, such as whole minutes: every task counts the
+    rows per distinct value. For others take `exact_median`. NULL and NaN are ignored;
+    no values give NULL.
     """
-    value = F.col(column).cast("double")
-    sketch = F.percentile_approx(value, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
-    first = rows.agg(*aggregates, sketch.alias("_bracket"))
-    # One subquery for the bracket and the output, so the first pass runs once.
-    row = first.select(F.struct("*")).scalar()
-    low, high = row["_bracket"][0], row["_bracket"][1]
-
-    zone = F.when(F.col("v") < low, 0).when(F.col("v") <= high, 1).otherwise(2)
-    counts = (
-        rows.select(value.alias("v"))
-        .filter("v IS NOT NULL")
-        .select(zone.alias("zone"), "v")
-        .groupBy("zone", F.when(F.col("zone") == 1, F.col("v")).alias("v"))
-        .agg(F.count("*").alias("n"))
-    )
-    so_far = Window.orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.select(
-        "v", F.sum("n").over(so_far).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total")
-    )
-
-    def value_at(position: Column) -> Column:
-        return F.min_by("v", F.when(F.col("upto") >= position, F.col("upto")))
-
-    lower, upper = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    median = placed.agg(((value_at(lower) + value_at(upper)) / 2).alias("median"))
-    names = [c for c in first.columns if c != "_bracket"]
-    return median.select(*[row[c].alias(c) for c in names], F.col("median").alias(name))
-
-
-def exact_median(rows: DataFrame, column: str) -> DataFrame:
-    """One row, one column `median`."""
-    return aggregate_with_median(rows, column, "median")
+    return rows.agg(*aggregates, F.median(_known(column)).alias(name))
+
+
+def exact_median(rows: DataFrame, column: str, small: int = SMALL, margin: float = MARGIN) -> DataFrame:
+    """One row, one column `median`, for a column with any number of distinct values.
+
+    A sketch brackets the middle, the rows beside and inside the bracket are counted, and
+    so on inside it until at most `small` rows, or one value, are left. Only their
+    distinct values are ordered in one task. A bracket that misses a middle position is
+    widened, at last to all values. NULL and NaN are ignored; no values give NULL.
+    """
+    values = rows.select(_known(column).alias("v")).filter("v IS NOT NULL")
+    low, high, inside = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    below, lower, upper = 0, (inside + 1) // 2, inside // 2 + 1
+    while inside > small and low < high:
+        wide, now = margin, values.filter(F.col("v").between(low, high))
+        while True:
+            shares = [(lower - below) / inside - wide, (upper - below) / inside + wide]
+            shares = [min(1.0, max(0.0, share)) for share in shares]
+            first, last = now.agg(F.percentile_approx("v", shares, ACCURACY)).first()[0]
+            if wide >= 1:
+                first, last = low, high
+            under, within = now.agg(F.count_if(F.col("v") < first), F.count_if(F.col("v").between(first, last))).first()
+            if below + under < lower and upper <= below + under + within:
+                break
+            wide = max(0.0, wide) * 8 + 1 / ACCURACY
+        if within == inside:
+            break
+        low, high, below, inside = first, last, below + under, within
+    counts = values.filter(F.col("v").between(low, high)) if low is not None else values
+    so_far = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.groupBy("v").agg(F.count("*").alias("n")).select("v", (F.sum("n").over(so_far) + below).alias("upto"))
+
+    def value_at(position: int) -> Column:
+        return F.min(F.when(F.col("upto") >= position, F.col("v")))
+
+    return placed.agg(((value_at(lower) + value_at(upper)) / 2).alias("median"))

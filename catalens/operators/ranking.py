@@ -44,36 +44,18 @@ def best_values_per_group(rows: DataFrame, group: str, by: str, n: int) -> DataF
     )
 
 
-def rank_per_group(
-    rows: DataFrame,
-    group: str,
-    by: str,
-    n: int,
-    kind: str = "rank",
-    key: str = "id",
-    salts: int = 16,
-) -> DataFrame:
+def rank_per_group(rows: DataFrame, group: str, by: str, n: int, kind: str = "rank") -> DataFrame:
     """Every row whose rank (`rank` or `dense_rank`) in its group is at most n.
 
-    All ties are kept, however many there are. First each group is split by a
-    hash of `key` and ranked within the parts: a row is never ranked worse there
-    than in the whole group, so the rows that count, and all rows better than
-    them, are among those kept. Spark prunes them in every task, before the
-    shuffle. The true ranks are then taken over the distinct values of the kept
-    rows and joined back, so equal rows need not meet in one task.
+    All ties are kept, however many there are. The best values of each group are found
+    from counts per (group, value) and joined back to the rows by group and value, so
+    rows are never shuffled by the group alone. There are at most n values per group,
+    few enough for Spark to broadcast them by their size.
     """
-    part = Window.partitionBy(group, "_part").orderBy(F.col(by).desc_nulls_last())
-    place = {"rank": F.rank(), "dense_rank": F.dense_rank()}[kind].over(part)
-    near = (
-        rows.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(salts)))
-        .withColumn("_place", place)
-        .filter(F.col("_place") <= n)
-        .drop("_part", "_place")
-    )
-    values = best_values_per_group(near, group, by, n).filter(F.col(kind) <= n)
+    values = best_values_per_group(rows, group, by, n).filter(F.col(kind) <= n)
     values = values.select(F.col(group).alias("_group"), F.col(by).alias("_value"), kind)
     same = F.col(group).eqNullSafe(F.col("_group")) & F.col(by).eqNullSafe(F.col("_value"))
-    return near.join(values, same).drop("_group", "_value")
+    return rows.join(values, same).drop("_group", "_value")
 
 
 def next_in_group(

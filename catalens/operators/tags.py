@@ -7,18 +7,22 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalens.functions.parse import trim_spaces
+from catalens.functions.parse import trim_white_space
 
 
 def explode_tags(
-    rows: DataFrame, tags: str = "genres", token: str = "genre", keep_empty: bool = False
+    rows: DataFrame,
+    tags: str = "genres",
+    token: str = "genre",
+    keep_empty: bool = False,
+    trim: Callable[[Column], Column] = trim_white_space,
 ) -> DataFrame:
     """One row per (row, token). Repeated tokens of a row are all kept.
 
     `keep_empty` keeps tokens that are blank after trimming ("a,,b").
     """
     split = rows.filter(F.col(tags).isNotNull()).withColumn(token, F.explode(F.split(tags, ",", -1)))
-    trimmed = split.withColumn(token, trim_spaces(F.col(token)))
+    trimmed = split.withColumn(token, trim(F.col(token)))
     return trimmed if keep_empty else trimmed.filter(F.col(token) != "")
 
 
@@ -38,7 +42,7 @@ def per_listed_tag(
     """
     aggregates, results = [], []
     for i, name in enumerate(names):
-        hit = F.when(F.col(tags).ilike(f"%{name}%"), True)
+        hit = F.when(F.lower(tags).contains(name.lower()), True)
         columns = {key: f"{key}_{i}" for key in measures}
         aggregates += [build(hit).alias(columns[key]) for key, build in measures.items()]
         results.append(F.struct(F.lit(name).alias(label), *[F.col(c).alias(k) for k, c in columns.items()]))

@@ -11,10 +11,12 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalens.operators import cleaning, quality
 from catalens.params import CleanRules, QualityRules, ReportRules
 from catalens.plans import summaries
+from catalens.schema import RAW_COLUMNS
 from catalens.sources import files
 
 
@@ -34,6 +36,21 @@ def _skipped_summary(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(*counts, F.lit(0.0).alias("pct_kept"), note)
 
 
+def clean_or_reuse(
+    raw: DataFrame, found: DataFrame, path: str, limits: CleanRules = CleanRules(), reuse: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The clean table at `path` and its summary row (see `BatchResult`).
+
+    A finished table is taken as it is when `reuse` asks for it, with zeros and a note
+    for a summary; otherwise it is written from `raw`. `found` is the diagnostics row.
+    """
+    reused = files.read_clean_if_present(raw.sparkSession, path) if reuse else None
+    if reused is not None:
+        return reused, _skipped_summary(raw.sparkSession)
+    cleaned = files.materialise(cleaning.clean(raw, limits), path)
+    return cleaned, cleaning.cleaning_summary(found, cleaned)
+
+
 def run_batch(
     spark: SparkSession,
     raw_path: str,
@@ -42,25 +59,30 @@ def run_batch(
     gates: QualityRules = QualityRules(),
     reports: ReportRules = ReportRules(),
     reuse_clean: bool = False,
+    line_breaks: bool = True,
+    schema: T.StructType | None = None,
 ) -> BatchResult:
     """Run every step and write the clean table and all reports under `out_dir`.
 
-    With `reuse_clean` an existing clean table is taken as it is. A failed gate
-    raises `ValidationError` when the rules ask for it.
+    With `reuse_clean` an existing clean table is taken as it is. `line_breaks` and
+    `schema` are those of `read_raw_csv`. A failed gate raises `ValidationError` when
+    the rules ask for it, for a missing column before any row is read; when they do not,
+    a missing column counts as empty.
     """
     clean_path, tables = f"{out_dir}/clean", f"{out_dir}/tables"
-    raw = files.read_raw_csv(spark, raw_path)
+    raw = files.read_raw_csv(spark, raw_path, schema, line_breaks)
+    header = raw.columns
+    quality.enforce(quality.check_raw(raw, gates, only=["required_columns"]), gates)
+    absent = [c for c in RAW_COLUMNS if c not in header]
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in absent})
     found = files.materialise(cleaning.diagnostics(raw, limits), f"{out_dir}/diagnostics")
-    raw_report = quality.check_raw_counted(raw.columns, found, gates)
+    raw_report = quality.check_raw_counted(header, found, gates)
     quality.enforce(raw_report, gates)
 
-    reused = files.read_clean_if_present(spark, clean_path) if reuse_clean else None
-    if reused is None:
-        cleaned = files.materialise(cleaning.clean(raw, limits), clean_path)
-        summary = files.materialise(cleaning.cleaning_summary(found, cleaned), f"{out_dir}/summary")
+    cleaned, summary = clean_or_reuse(raw, found, clean_path, limits, reuse_clean)
+    if "note" not in summary.columns:
+        summary = files.materialise(summary, f"{out_dir}/summary")
         files.write_report_csv(summary, tables, "cleaning_summary")
-    else:
-        cleaned, summary = reused, _skipped_summary(spark)
 
     analysed = files.read_clean(spark, clean_path)
     report = raw_report.unionByName(quality.check_clean(analysed, gates))

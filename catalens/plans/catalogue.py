@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions import buckets
+from catalens.functions.parse import trim_spaces
 from catalens.operators import ranking
 from catalens.operators.cleaning import UNKNOWN
 from catalens.operators.tags import explode_tags
@@ -31,8 +32,8 @@ def voted(rows: DataFrame, floor: int) -> DataFrame:
 
 
 def containing(rows: DataFrame, column: str, phrase: str) -> DataFrame:
-    """Rows whose text contains the phrase, ignoring case."""
-    return rows.filter(F.col(column).ilike(f"%{phrase}%"))
+    """Rows whose text contains the phrase as it is (no wildcards), ignoring case."""
+    return rows.filter(F.lower(column).contains(phrase.lower()))
 
 
 def rounded_mean(column: str) -> Column:
@@ -42,9 +43,11 @@ def rounded_mean(column: str) -> Column:
 # --- ratings --------------------------------------------------------------
 
 
-def top_rated(rows: DataFrame, limits: ReportRules = DEFAULT, n: int = 20) -> DataFrame:
+def top_rated(
+    rows: DataFrame, limits: ReportRules = DEFAULT, n: int = 20, when: str = "release_year"
+) -> DataFrame:
     best = top_n(voted(rows, limits.top_rated_votes), descending("vote_average"), n)
-    return best.select("title", "vote_average", "vote_count", "release_year")
+    return best.select("title", "vote_average", "vote_count", when)
 
 
 def top_rated_per_decade(rows: DataFrame, limits: ReportRules = DEFAULT, n: int = 10) -> DataFrame:
@@ -99,7 +102,7 @@ def primary_genre_count(rows: DataFrame) -> DataFrame:
 def genre_stats(rows: DataFrame, limits: ReportRules = DEFAULT, min_rows: int = 100) -> DataFrame:
     reliable = F.when(F.col("vote_count") >= limits.reliable_votes, F.col("vote_average"))
     return (
-        explode_tags(rows.select("genres", reliable.alias("rating")), keep_empty=True)
+        explode_tags(rows.select("genres", reliable.alias("rating")), keep_empty=True, trim=trim_spaces)
         .groupBy("genre")
         .agg(movie_count(), F.round(F.avg("rating"), 2).alias("avg_rating"))
         .filter(F.col("movie_count") >= min_rows)
@@ -110,7 +113,7 @@ def genre_stats(rows: DataFrame, limits: ReportRules = DEFAULT, min_rows: int =
 def genre_revenue(rows: DataFrame, limits: ReportRules = DEFAULT, min_rows: int = 50) -> DataFrame:
     earning = credible_financials(rows, limits).select("genres", "revenue")
     return (
-        explode_tags(earning, keep_empty=True)
+        explode_tags(earning, keep_empty=True, trim=trim_spaces)
         .groupBy("genre")
         .agg(rounded_mean("revenue"), movie_count())
         .filter(F.col("movie_count") >= min_rows)
@@ -193,17 +196,17 @@ def per_month(rows: DataFrame) -> DataFrame:
 
 
 def title_search(
-    rows: DataFrame, phrase: str = "war", limits: ReportRules = DEFAULT, n: int = 20
+    rows: DataFrame, phrase: str = "war", limits: ReportRules = DEFAULT, n: int = 20, when: str = "release_year"
 ) -> DataFrame:
     hits = voted(containing(rows, "title", phrase), limits.financial_votes)
-    return top_n(hits, descending("vote_average"), n).select(
-        "title", "vote_average", "release_year", "overview"
-    )
+    return top_n(hits, descending("vote_average"), n).select("title", "vote_average", when, "overview")
 
 
-def overview_search(rows: DataFrame, phrase: str = "artificial intelligence", n: int = 20) -> DataFrame:
+def overview_search(
+    rows: DataFrame, phrase: str = "artificial intelligence", n: int = 20, when: str = "release_year"
+) -> DataFrame:
     hits = containing(rows, "overview", phrase)
-    return top_n(hits, descending("vote_average"), n).select("title", "vote_average", "release_year")
+    return top_n(hits, descending("vote_average"), n).select("title", "vote_average", when)
 
 
 def longest_titles(rows: DataFrame, n: int = 15) -> DataFrame:
@@ -212,23 +215,23 @@ def longest_titles(rows: DataFrame, n: int = 15) -> DataFrame:
 
 
 def keyword_search(
-    rows: DataFrame, phrase: str = "robot", limits: ReportRules = DEFAULT, n: int = 20
+    rows: DataFrame, phrase: str = "robot", limits: ReportRules = DEFAULT, n: int = 20, when: str = "release_year"
 ) -> DataFrame:
     hits = voted(containing(rows, "keywords", phrase), limits.reliable_votes)
-    return top_n(hits, descending("vote_average"), n).select(
-        "title", "keywords", "vote_average", "release_year"
-    )
+    return top_n(hits, descending("vote_average"), n).select("title", "keywords", "vote_average", when)
 
 
 # --- comparisons ----------------------------------------------------------
 
 
-def above_average(rows: DataFrame, limits: ReportRules = DEFAULT, n: int = 20) -> DataFrame:
+def above_average(
+    rows: DataFrame, limits: ReportRules = DEFAULT, n: int = 20, when: str = "release_year"
+) -> DataFrame:
     """Best rated rows among those above the mean rating of the same selection."""
     known = voted(rows, limits.well_voted)
     mean = known.agg(F.avg("vote_average")).scalar()
     return top_n(known.filter(F.col("vote_average") > mean), descending("vote_average"), n).select(
-        "title", "vote_average", "release_year"
+        "title", "vote_average", when
     )
 
 
@@ -242,7 +245,11 @@ def top_per_language(rows: DataFrame, limits: ReportRules = DEFAULT, n: int = 20
 
 
 def revenue_percentile(rows: DataFrame, limits: ReportRules = DEFAULT, n: int = 30) -> DataFrame:
-    placed = ranking.percent_rank_head(credible_financials(rows, limits), "revenue", n, "share")
+    return percentile_list(credible_financials(rows, limits), n)
+
+
+def percentile_list(earning: DataFrame, n: int) -> DataFrame:
+    placed = ranking.percent_rank_head(earning, "revenue", n, "share")
     return placed.select(
         "title", "revenue", F.round(F.col("share") * 100, 1).alias("revenue_percentile")
     ).orderBy(F.desc("revenue"))

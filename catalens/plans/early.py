@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions import buckets, rules
-from catalens.operators import ranking
 from catalens.operators.tags import per_listed_tag
 from catalens.operators.topk import ascending, descending, top_n, top_n_per_group
 from catalens.params import ReportRules
-from catalens.plans.catalogue import containing, mean_rating, movie_count, rounded_mean, voted
+from catalens.plans.catalogue import mean_rating, movie_count, percentile_list, rounded_mean, voted
 from catalens.plans.summaries import DEFAULT, reliable_ratings
 
 
@@ -35,11 +34,6 @@ def _dated(rows: DataFrame) -> DataFrame:
 # --- ratings and money ----------------------------------------------------
 
 
-def top_rated_dates(rows: DataFrame, limits: ReportRules = DEFAULT, n: int = 20) -> DataFrame:
-    best = top_n(voted(rows, limits.top_rated_votes), descending("vote_average"), n)
-    return best.select("title", "vote_average", "vote_count", "release_date")
-
-
 def top_rated_per_decade(rows: DataFrame, limits: ReportRules = DEFAULT, n: int = 10) -> DataFrame:
     dated = _dated(voted(rows, limits.top_rated_votes))
     dated = dated.withColumn("decade", rules.decade(F.year("release_date")))
@@ -92,10 +86,7 @@ def top_profit_percent(rows: DataFrame, min_budget: float = 1_000_000.0, n: int
 
 
 def revenue_percentile(rows: DataFrame, n: int = 30) -> DataFrame:
-    placed = ranking.percent_rank_head(_earning(rows), "revenue", n, "share")
-    return placed.select(
-        "title", "revenue", F.round(F.col("share") * 100, 1).alias("revenue_percentile")
-    ).orderBy(F.desc("revenue"))
+    return percentile_list(_earning(rows), n)
 
 
 # --- listed genres, by substring ------------------------------------------
@@ -201,30 +192,7 @@ def per_month_name(rows: DataFrame) -> DataFrame:
     )
 
 
-# --- text search ----------------------------------------------------------
-
-
-def title_search(
-    rows: DataFrame, phrase: str = "war", limits: ReportRules = DEFAULT, n: int = 20
-) -> DataFrame:
-    hits = voted(containing(rows, "title", phrase), limits.financial_votes)
-    return top_n(hits, descending("vote_average"), n).select(
-        "title", "vote_average", "release_date", "overview"
-    )
-
-
-def overview_search(rows: DataFrame, phrase: str = "artificial intelligence", n: int = 20) -> DataFrame:
-    hits = containing(rows, "overview", phrase)
-    return top_n(hits, descending("vote_average"), n).select("title", "vote_average", "release_date")
-
-
-def keyword_search(
-    rows: DataFrame, phrase: str = "robot", limits: ReportRules = DEFAULT, n: int = 20
-) -> DataFrame:
-    hits = voted(containing(rows, "keywords", phrase), limits.reliable_votes)
-    return top_n(hits, descending("vote_average"), n).select(
-        "title", "keywords", "vote_average", "release_date"
-    )
+# --- titles ---------------------------------------------------------------
 
 
 def longest_titles(rows: DataFrame, n: int = 15) -> DataFrame:
@@ -237,14 +205,3 @@ def shortest_titles(rows: DataFrame, n: int = 15) -> DataFrame:
     return top_n(sized, ascending("title_length"), n).select(
         "title", "title_length", "vote_average", "release_date"
     )
-
-
-# --- comparisons ----------------------------------------------------------
-
-
-def above_average(rows: DataFrame, limits: ReportRules = DEFAULT, n: int = 20) -> DataFrame:
-    known = voted(rows, limits.well_voted)
-    mean = known.agg(F.avg("vote_average")).scalar()
-    return top_n(known.filter(F.col("vote_average") > mean), descending("vote_average"), n).select(
-        "title", "vote_average", "release_date"
-    )

@@ -83,8 +83,8 @@ def yearly_trend(rows: DataFrame, limits: ReportRules = DEFAULT) -> DataFrame:
         .groupBy("release_year")
         .agg(
             F.count("*").alias("movie_count"),
-            rules.exact_mean(_if_credible("revenue", limits)).alias("avg_revenue"),
-            rules.exact_mean(_if_credible("budget", limits)).alias("avg_budget"),
+            F.avg(_if_credible("revenue", limits)).alias("avg_revenue"),
+            F.avg(_if_credible("budget", limits)).alias("avg_budget"),
         )
         .orderBy("release_year")
     )

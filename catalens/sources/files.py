@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,19 +18,48 @@ _CSV = {"header": True, "quote": '"', "escape": '"'}
 _CSV_WRITE = {**_CSV, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+# The folder of a session on one machine; it goes when Python ends.
+_own_folder: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new, unused folder path on the storage all executors share.
 
-    The place is the one the cluster names in `spark.checkpoint.dir`. Only where
-    that is unset, as on one machine, a fresh temporary folder is set instead.
+    The place is the one the cluster names in `spark.checkpoint.dir`. Where that is
+    unset on one machine (a `local` master), a temporary folder is set instead, which is
+    removed at the end of the process; on a cluster it is an error. What a caller writes
+    there is the caller's to remove, with `remove`.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        if not _on_one_machine(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _own_folder.append(tempfile.TemporaryDirectory(prefix="run-", ignore_cleanup_errors=True))
+        spark.sparkContext.setCheckpointDir(_own_folder[-1].name)
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/catalens-{uuid.uuid4().hex}"
 
 
+def _on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def _file_system(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, there = _file_system(spark, path)
+    return system.exists(there)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `shared_folder` gave, once nothing reads it any more."""
+    system, there = _file_system(spark, path)
+    system.delete(there, True)
+
+
 def raw_schema(spark: SparkSession, path: str) -> T.StructType:
     """Column names from the header, all typed as text; only the header is read."""
     return text_schema(spark.read.options(**_CSV).csv(path).columns)
@@ -42,11 +70,15 @@ def read_raw_csv(
 ) -> DataFrame:
     """The raw files as text columns; lines with a wrong number of fields are skipped.
 
-    Where texts hold line breaks a file cannot be split, so each file is one
+    The header of every file must name the columns in the same order, else reading
+    fails. Where texts hold line breaks a file cannot be split, so each file is one
     task and a large table should arrive as many files. Where they do not, set
     `line_breaks=False` and Spark splits large files by itself.
     """
-    reader = spark.read.options(**_CSV, mode="DROPMALFORMED", multiLine=line_breaks)
+    # Without column pruning a count, too, sees which lines are malformed.
+    reader = spark.read.options(
+        **_CSV, mode="DROPMALFORMED", multiLine=line_breaks, enforceSchema=False, columnPruning=False
+    )
     return reader.schema(schema or raw_schema(spark, path)).csv(path)
 
 
@@ -68,11 +100,11 @@ def read_clean(
 
 
 def read_clean_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    """The clean table of an earlier, finished run, or None."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The clean table of an earlier, finished run, or None.
+
+    A run that broke off leaves no success marker; its files count as absent.
+    """
+    return spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else None
 
 
 def materialise(rows: DataFrame, path: str) -> DataFrame:
@@ -95,7 +127,11 @@ def register_view(rows: DataFrame, name: str = "movies") -> None:
 
 
 def write_report_csv(rows: DataFrame, folder: str, name: str) -> str:
-    """A small report table as one CSV file in `folder/name`; returns its path."""
+    """An aggregated report as one CSV file in `folder/name`; returns its path.
+
+    One task writes all rows, so this is for reports, not for tables that grow with the
+    input; those go through `export_clean_csv`.
+    """
     path = f"{folder}/{name}"
     rows.coalesce(1).write.mode("overwrite").options(**_CSV_WRITE).csv(path)
     return path

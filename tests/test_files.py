@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalens.operators.quality import ValidationError
 from catalens.params import QualityRules
 from catalens.plans.batch import run_batch
-from catalens.schema import ANALYSIS_COLUMNS, CLEAN_COLUMNS, RAW_COLUMNS
+from catalens.schema import ANALYSIS_COLUMNS, CLEAN_COLUMNS, RAW_COLUMNS, text_schema
 from catalens.sources import files
 from tests.test_cleaning import MESSY, row
 
@@ -62,6 +62,46 @@ def test_files_without_line_breaks_are_split(spark, raw_frame, folder):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_headers_in_another_order_fail(spark, folder):
+    spark.createDataFrame([("1", "A")], "id string, title string").write.option("header", True).csv(f"{folder}/mixed")
+    other = spark.createDataFrame([("B", "2")], "title string, id string")
+    other.write.mode("append").option("header", True).csv(f"{folder}/mixed")
+    schema = text_schema(["id", "title"])
+    for line_breaks in (True, False):
+        with pytest.raises(Exception, match="(?i)header"):
+            files.read_raw_csv(spark, f"{folder}/mixed", schema, line_breaks).collect()
+
+
+def test_a_count_leaves_out_malformed_lines(spark, folder):
+    text = "id,title\n1,A\n2,B,too many\n3,C"
+    spark.createDataFrame([(text,)], "line string").coalesce(1).write.text(f"{folder}/bad")
+    for line_breaks in (True, False):
+        raw = files.read_raw_csv(spark, f"{folder}/bad", line_breaks=line_breaks)
+        assert raw.count() == 2 and as_set(raw) == {("1", "A"), ("3", "C")}
+
+
+def test_an_unfinished_table_is_not_reused(spark, four, folder):
+    files.materialise(four, f"{folder}/broken")
+    (Path(folder.removeprefix("file:")) / "broken/_SUCCESS").unlink()
+    assert files.read_clean_if_present(spark, f"{folder}/broken") is None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda name, default: default)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            files.shared_folder(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_folders_can_be_removed(spark, four):
+    path = files.shared_folder(spark)
+    files.materialise(four, path)
+    assert files.exists(spark, path)
+    files.remove(spark, path)
+    assert not files.exists(spark, path)
+
+
 def test_clean_table(spark, four, folder):
     path = f"{folder}/clean"
     assert files.read_clean_if_present(spark, path) is None
@@ -120,6 +160,20 @@ def test_batch(spark, raw_path, folder, low_gates):
     assert again.kpis.first() == kpis
 
 
+def test_batch_names_missing_columns(spark, raw_frame, folder):
+    lacking = raw_frame(*MESSY).drop("title", "keywords")
+    files.write_raw_csv(lacking, f"{folder}/lacking")
+    with pytest.raises(ValidationError, match="required_columns"):
+        run_batch(spark, f"{folder}/lacking", f"{folder}/out", gates=QualityRules(hard_fail=True))
+    report = run_batch(spark, f"{folder}/lacking", f"{folder}/out", gates=QualityRules()).report
+    assert report.where("name = 'required_columns'").first().detail == "missing: ['title']"
+
+
+def test_batch_without_line_breaks(spark, raw_path, folder, low_gates):
+    result = run_batch(spark, raw_path, f"{folder}/flat", gates=low_gates, line_breaks=False, schema=text_schema(RAW_COLUMNS))
+    assert result.summary.first().raw_rows == 35
+
+
 def test_batch_stops_on_a_failed_gate(spark, raw_path, folder):
     strict = QualityRules(hard_fail=True, min_raw_rows=36, min_clean_rows=1)
     with pytest.raises(ValidationError, match="min_raw_rows"):

@@ -20,6 +20,7 @@ def test_long(spark):
         "12": 12, "12.7": 13, "12.5": 13, "-12.5": -13, "1e3": 1000, " 5 ": 5, "1_000": 1000,
         "9007199254740993": 2**53 + 1, "abc": None, "": None, "inf": None, "_1": None, "1__0": None,
         "99999999999999999999": None, None: None,
+        "12.49999999999999999999": 12, "12.50000000000000000001": 13, "-12.49999999999999999999": -12,
     }
     assert values(spark, parse.parse_long, cases) == list(cases.values())
 

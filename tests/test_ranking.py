@@ -1,6 +1,7 @@
 """Ranks and neighbours against plain windows, with ties, NULLs and hot groups."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -58,11 +59,17 @@ def test_rank_per_group_keeps_all_ties(spark):
     assert ranking.rank_per_group(frame, "grp", "val", 1).count() == 3000
 
 
-def test_rank_per_group_prunes_before_the_shuffle(spark):
-    plan = ranking.rank_per_group(data(spark), "grp", "val", 3)._jdf.queryExecution().executedPlan()
+def test_rank_per_group_shuffles_counts_not_rows(spark, tmp_path):
+    data(spark, 400).write.parquet(str(tmp_path / "rows"))
+    frame = spark.read.parquet(str(tmp_path / "rows"))
+    plan = ranking.rank_per_group(frame, "grp", "val", 3)._jdf.queryExecution().executedPlan()
     lines = plan.toString().splitlines()
-    first_exchange = max(i for i, line in enumerate(lines) if "hashpartitioning(grp" in line)
-    assert any("WindowGroupLimit" in line and "Partial" in line for line in lines[first_exchange:])
+    assert sum("FileScan" in line for line in lines) == 2
+    by_group = [i for i, line in enumerate(lines) if re.search(r"hashpartitioning\(grp#\d+, \d+\)", line)]
+    assert len(by_group) == 1  # of the counts, cut to the best n values in every task
+    below = lines[by_group[0] :]
+    assert any("WindowGroupLimit" in line and "Partial" in line for line in below)
+    assert any("HashAggregate" in line for line in below)
 
 
 @pytest.mark.parametrize("size", [0, 1, 40, 41, 400])
