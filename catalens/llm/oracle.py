@@ -37,5 +37,61 @@ SELECT conv_id,
 FROM marked GROUP BY conv_id"""
 
 
+#: The RFC 4648 alphabet of base 32.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _base32(hex_digits: str) -> str:
+    """Five hexadecimal digits are twenty bits, so four letters."""
+    letters = [
+        f"substr('{_BASE32}', 1 + ((CAST('0x' || substr({hex_digits}, {at}, 5) AS INTEGER) >> {shift}) & 31), 1)"
+        for at in range(1, 41, 5) for shift in (15, 10, 5, 0)
+    ]
+    return " || ".join(letters)
+
+
+def op1_warc() -> str:
+    return f"""
+WITH records AS (
+  SELECT page_id, coalesce(html, '') AS payload, lower(sha1(coalesce(html, ''))) AS hex FROM pages
+), placed AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS first_id FROM records
+)
+SELECT page_id,
+  CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  {_base32("hex")} AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM placed"""
+
+
+def op5_minhash() -> str:
+    return """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), elements AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(words) >= 2 THEN list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])
+    ELSE words END) AS element FROM split
+), sizes AS (
+  SELECT doc_id, count(element) AS n FROM split LEFT JOIN elements USING (doc_id) GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM elements a JOIN elements b ON a.element = b.element AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT doc_id, b FROM reach JOIN both_ways ON other = a
+)
+SELECT doc_id, sizes.n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id, sizes.n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": op2_chat()}
+    return {"op1_warc": op1_warc(), "op2_chat": op2_chat(), "op5_minhash": op5_minhash()}
