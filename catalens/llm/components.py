@@ -1,40 +1,41 @@
-"""Connected components by alternating stars over Spark joins."""
+"""Connected components by contraction over Spark joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.llm.store import materialise
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over (a, b): a > b afterwards."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    large = materialise(large)
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+def _order(node: str, number: int) -> Column:
+    """What makes a node first among its neighbours: the id, in every second round a hash
+    of it, so that neither stars around small ids nor long sorted paths take many rounds."""
+    mixed = F.lit(0).cast("long") if number % 2 == 0 else F.xxhash64(node, F.lit(number))
+    return F.struct(mixed.alias("place"), F.col(node).alias("node"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node in a link (a, b) of longs.
+    """node, component (one node of it) for every node linked with another, from links (a, b) of longs.
 
-    The links shrink to stars in a number of rounds that grows with the logarithm of the
-    longest path; each round is written out. Loops and repeated links do no harm.
+    In each round every node joins its first neighbour, links are rewritten to the nodes
+    that were joined, and loops and repeats go; so the links shrink until none is left.
+    Loops and repeated links do no harm. Each round is written out.
     """
-    stars = materialise(links.select("a", "b").where("a <> b").distinct())
-    alone = links.where("a = b").select(F.col("a").alias("node"))
-    before = None
+    edges, joined, number = links.select("a", "b").where("a <> b"), [], 0
     while True:
-        stars = _stars(stars)
-        state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(_order("b", number)).alias("least"))
+        step = materialise(first.select("a", F.least("least", _order("a", number))["node"].alias("to")))
+        joined.append(step)
+        left = edges.join(step.withColumnRenamed("to", "x"), "a")
+        right = step.select(F.col("a").alias("b"), F.col("to").alias("y"))
+        edges = left.join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges, number = materialise(edges.distinct()), number + 1
+        if not edges.take(1):
             break
-        before = state
-    found = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    found = found.unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")))
-    found = found.unionByName(alone.select("node", F.col("node").alias("component")))
-    return materialise(found.groupBy("node").agg(F.min("component").alias("component")))
+    label = joined[0].select(F.col("a").alias("node"), F.col("to").alias("component"))
+    for step in joined[1:]:
+        to = step.select(F.col("a").alias("component"), "to")
+        label = label.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialise(label)
