@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from catalens.sources.files import shared_folder
+from catalens.sources.files import remove, shared_folder
 
 ENTRY = T.StructType([
     T.StructField("shard", T.LongType()),
@@ -79,7 +79,9 @@ def commit(entries: DataFrame, folder: str) -> DataFrame:
                     raise FileNotFoundError(f"neither {old} nor a whole {new}")
             yield batch
 
-    return materialise(written.mapInArrow(rename, ENTRY), f"{folder}/manifest")
+    manifest = materialise(written.mapInArrow(rename, ENTRY), f"{folder}/manifest")
+    remove(spark, f"{folder}/temporary")  # what attempts left whose rows did not count
+    return manifest
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
