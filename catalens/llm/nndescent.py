@@ -15,9 +15,9 @@ one node of the graph and ties go by id. The index:
 A query starts at its nearest pivots (a sample of PIVOTS points, the only thing that is
 broadcast) and, where its vector is in the index, at its own node. In each step it opens
 its nearest unopened points, joins those neighbours that it has not met, and keeps the
-nearest BEAM; it ends when all of these are open. On 50,000 random-like vectors of 64
-dimensions about 0.96 of the true nearest five are found. Scores are computed in double
-precision from the original vectors.
+nearest BEAM; it ends when all of these are open. On the graph of 51,000 random-like
+vectors of 64 dimensions a beam of 96 found 0.92, one of 192 found 0.97 of the true
+nearest five. Scores are computed in double precision from the original vectors.
 
 Every row with a vector is indexed. Vectors that are null, zero, or hold null or
 non-finite components take no part, nor do those whose length is not the most common
