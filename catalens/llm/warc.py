@@ -90,20 +90,13 @@ def decide(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     return records.join(groups, "sha1", "left").withColumn("first_is_response", F.col("to").isNull() | own)
 
 
-_MEMBER = T.StructType([
-    T.StructField("shard", T.LongType()),
+_BUILT = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),
     T.StructField("sha1", T.StringType()),
     T.StructField("size", T.LongType()),
-    T.StructField("shared", T.BooleanType()),
-    T.StructField("response", T.BooleanType()),
     T.StructField("member", T.BinaryType()),
 ])
-_MEMBER_ARROW = pa.schema([
-    ("shard", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("sha1", pa.string()), ("size", pa.int64()),
-    ("shared", pa.bool_()), ("response", pa.bool_()), ("member", pa.binary()),
-])
 
 
 def write_warc(
@@ -117,29 +110,30 @@ def write_warc(
         total = decisions.agg(F.sum(F.col("copies") * (F.col("size") + 512))).first()[0] or 0
         shard_bytes = min(MAX_SHARD, max(MIN_SHARD, total // MAX_SHARDS))
     decisions = decisions.withColumn("shard", F.floor(F.col("before") / shard_bytes).cast("long"))
-    a, b = _page_columns(pages).alias("a"), decisions.alias("b")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Responses are compressed before any shuffle, so that no shuffle moves plain pages."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                keys = [part.column(k) for k in range(4)]
+                rows = zip(*(column.to_pylist() for column in part.columns))
+                data = [member(*key, payload.encode()) for *key, payload in rows]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(data, pa.binary())], names=_BUILT.names)
+
+    built = _page_columns(pages).mapInArrow(build, _BUILT)
+    a, b = built.alias("a"), decisions.alias("b")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _ORDER]
     joined = a.join(b, same).select(
         "b.shard", "a.page_id", "a.url", "a.sha1", "a.size",
-        F.when(F.col("b.first_is_response"), F.col("a.html")).alias("html"),  # a revisit needs no payload
+        F.when(F.col("b.first_is_response"), F.col("a.member")).alias("member"),  # none for a revisit
         F.col("b.to").isNotNull().alias("shared"), F.col("b.to.page_id").alias("to_id"), F.col("b.to.url").alias("to_url"),
     )
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                out = []
-                for r in batch.slice(at, 64).to_pylist():
-                    refers = None if r["html"] is not None else (r["to_id"], r["to_url"])
-                    payload = None if refers else r["html"].encode()
-                    data = member(r["page_id"], r["url"], r["sha1"], r["size"], payload, 0, refers)
-                    out.append({k: r[k] for k in ("shard", "page_id", "url", "sha1", "size", "shared")} | {"response": refers is None, "member": data})
-                yield pa.RecordBatch.from_pylist(out, _MEMBER_ARROW)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_folder(folder)
         store.create_dir(f"{base}/temporary", recursive=True)
-        shard, seq, out, name, size, records, last, copy, first_response = None, 0, None, "", 0, 0, None, 0, False
+        shard, seq, out, name, size, records, last, copy = None, 0, None, "", 0, 0, None, 0
 
         def entry() -> pa.RecordBatch:
             out.close()
@@ -159,10 +153,11 @@ def write_warc(
                     name, size, records = temporary_name(), 0, 0
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
                 key, data = (r["page_id"], r["url"], r["sha1"]), r["member"]
+                refers = (r["to_id"], r["to_url"]) if data is None else key[:2]
                 copy = copy + 1 if key == last else 0
                 last = key
-                if copy and r["shared"] and r["response"]:
-                    data = member(*key, r["size"], None, copy, (r["page_id"], r["url"]))
+                if data is None or copy and r["shared"]:
+                    data = member(*key, r["size"], None, copy, refers)
                 out.write(data)
                 size, records = size + len(data), records + 1
                 if size >= file_bytes:
@@ -172,7 +167,7 @@ def write_warc(
             yield entry()
 
     order = [F.col(c).asc_nulls_last() for c in _ORDER]
-    members = joined.mapInArrow(build, _MEMBER).repartition("shard").sortWithinPartitions("shard", *order)
+    members = joined.repartition("shard").sortWithinPartitions("shard", *order)
     commit(members.mapInArrow(write, ENTRY), folder)
     return folder
 
