@@ -12,12 +12,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
 
 #: Chunks that a worker keeps; then it starts anew. Bounds memory, not results.
 CACHE = 1_000_000
+#: Letters below this code point have been letters in every version of Unicode in use.
+LETTERS = "\u0250"
+#: How byte-level vocabularies write bytes: those that print stand for themselves, the
+#: others for the code points from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SHOWN = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -47,7 +54,7 @@ class Encoder:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.whole: Callable = lambda texts: model.encode(texts, num_threads=1)
-            self.chunked, self.special, self.line_break = False, [], -1
+            self.chunked, self.special = False, []
             self.size = model.get_piece_size()
             return
         from tokenizers import Tokenizer
@@ -61,43 +68,49 @@ class Encoder:
         self.chunked = plain and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.special = [x["content"] for x in parts.get("added_tokens", [])]
         self.whole = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-        self.line_break = self.whole(["\n"])[0][0] if self.chunked else -1
-        self.part_break = np.array([self.line_break] if self.chunked else [], "<u4").tobytes()
-        self.parts["\n"] = self.part_break
+        self.line_break = array("I", self.whole(["\n"])[0]).tobytes()
+        self.merge = model.model.tokenize
         self.size = model.get_vocab_size(with_added_tokens=True)
 
-    def _cut(self, chunk: str, lead: str) -> list[str] | None:
-        """Parts of a chunk that the library encodes apart: lines, and a word and the ASCII
-        punctuation after it. None where a part would hold white space or be empty."""
-        parts = []
-        for line in chunk.split("\n"):
-            if line.split() != [line]:
-                return None
+    def _word(self, part: str) -> bytes:
+        """Ids of letters, with or without the space before them: one piece, merged by the library's model."""
+        found = self.parts.get(part)
+        if found is None:
+            mapped = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(SHOWN)
+            found = self.parts[part] = array("I", [token.id for token in self.merge(mapped)]).tobytes()
+        return found
+
+    def _whole(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            found = self.parts[part] = array("I", self.whole([part])[0]).tobytes()
+        return found
+
+    def _chunk(self, chunk: str, lead: str) -> bytes:
+        """Ids of a chunk: of its lines, and of a word and the ASCII punctuation after it, apart."""
+        if chunk.isalpha() and max(chunk) < LETTERS:
+            return self._word(lead + chunk)
+        stem = chunk[:-1]
+        if chunk[-1:] in PUNCTUATION and stem.isalpha() and max(stem) < LETTERS:
+            return self._word(lead + stem) + self._whole(chunk[-1])
+        lines = chunk.split("\n")
+        if any(line.split() != [line] for line in lines):  # other white space, or empty
+            return array("I", self.whole([lead + chunk])[0]).tobytes()
+        out = []
+        for line in lines:
             stem = line.rstrip(PUNCTUATION)
-            if stem and len(stem) < len(line) and stem[-1].isalpha() and stem[-1] < "\u0250":
-                parts += [lead + stem, line[len(stem) :], "\n"]
-            else:
-                parts += [lead + line, "\n"]
+            tail = line[len(stem) :]
+            if not tail or not stem or not (stem[-1].isalpha() and stem[-1] < LETTERS):
+                stem, tail = line, ""
+            letters = stem.isalpha() and max(stem) < LETTERS
+            out += [self.line_break, (self._word if letters else self._whole)(lead + stem), self._whole(tail) if tail else b""]
             lead = ""
-        return parts[:-1]
+        return b"".join(out[1:])
 
     def _lookup(self, cache: dict, chunks: Iterable[str], lead: str) -> None:
-        """Add chunks to a cache; the parts that are new go to the library in one call, each
-        on a line of its own, as a lone line break is a piece too."""
-        cuts = {c: self._cut(c, lead) for c in chunks if c not in cache}
-        new = list({p for cut in cuts.values() if cut for p in cut if p not in self.parts})
-        if new:
-            ids = np.array(self.whole(["\n".join(new)])[0], "<u4")
-            ends = [*(np.flatnonzero(ids == self.line_break) * 4).tolist(), len(ids) * 4]
-            ids, at = ids.tobytes(), 0
-            for part, end in zip(new, ends):
-                self.parts[part] = ids[at:end]
-                at = end + 4
-        for chunk, cut in cuts.items():
-            if cut:
-                cache[chunk] = b"".join(map(self.parts.__getitem__, cut))
-            else:
-                cache[chunk] = np.array(self.whole([lead + chunk])[0], "<u4").tobytes()
+        for chunk in chunks:
+            if chunk not in cache:
+                cache[chunk] = self._chunk(chunk, lead)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -107,7 +120,7 @@ class Encoder:
                 out.append(np.array(self.whole([text])[0], "<u4").tobytes())
                 continue
             if len(self.words) > CACHE or len(self.heads) > CACHE or len(self.parts) > CACHE:
-                self.words, self.heads, self.parts = {}, {}, {"\n": self.part_break}
+                self.words, self.heads, self.parts = {}, {}, {}
             head, *rest = text.split(" ")
             if head not in self.heads:
                 self._lookup(self.heads, [head], "")
