@@ -86,7 +86,7 @@ def token_counts(
         F.col(id_column).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), _content(text).alias("content")
     ))
     fill_cache(documents, vocabulary, cache, text_column)
-    counts = _stored(spark, cache, version_digest(vocabulary))
+    counts = materialise(_stored(spark, cache, version_digest(vocabulary)))  # so that AQE can split a frequent text's rows
     return keyed.join(counts, "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
