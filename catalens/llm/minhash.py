@@ -10,12 +10,13 @@ start, so a group of copies, however large, costs what one document costs.
    two low bits, packed into words. A pair at 0.8 misses all bands once in 50,000.
 2. Candidates. Nodes that share a band hash meet in groups of at most CHUNK: a larger
    group is split by a hash, and its most connected nodes go into every part. Inside a
-   group the counts of equal low bits, corrected for chance, estimate all similarities;
-   only a tree of the pairs over NEAR leaves the task. NEAR lies five standard errors
-   under the threshold. The trees' components are clusters.
+   group the counts of equal low bits, corrected for chance, estimate all similarities.
+   Of the pairs over `near`, five standard errors under the threshold, only the
+   components leave the task, as links of each node to the smallest one. The components
+   of all these links are clusters.
 3. Confirmation. The full sets of a cluster meet in parts of at most PART nodes, again
    with its most connected nodes in every part. Exact counts of common elements give
-   the links; a tree of them leaves the task.
+   the links; again only their components leave the task.
 4. Rest. In clusters of several parts every node outside the largest confirmed group is
    compared with all other nodes of its cluster, part by part.
 
@@ -144,20 +145,26 @@ LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Long
 _LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def tree(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
-    open_, out = np.ones(len(linked), bool), []
-    while open_.any():
-        root = int(open_.argmax())
-        open_[root] = False
-        queue = [root]
+def pieces(linked: np.ndarray) -> np.ndarray:
+    """The connected component of every row of a symmetric boolean matrix, as a number."""
+    piece, count = np.full(len(linked), -1), 0
+    while (piece < 0).any():
+        queue = [int((piece < 0).argmax())]
+        piece[queue[0]] = count
         while queue:
-            at = queue.pop()
-            new = np.flatnonzero(linked[at] & open_)
-            open_[new] = False
-            out += [(at, int(x)) for x in new]
+            new = np.flatnonzero(linked[queue.pop()] & (piece < 0))
+            piece[new] = count
             queue += new.tolist()
-    return out
+        count += 1
+    return piece
+
+
+def roots(linked: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """For every row the smallest node of its component."""
+    piece = pieces(linked)
+    least = np.full(piece.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, piece, node)
+    return least[piece]
 
 
 def _groups(*columns: np.ndarray) -> list[tuple[int, int]]:
@@ -170,13 +177,14 @@ def _groups(*columns: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _spread(rows: DataFrame, group: str, size: str, limit: int) -> DataFrame:
-    """Adds `chunk`: groups larger than `limit` in parts, their HUBS best connected nodes in each."""
+    """Adds `chunk` and `hub`: groups larger than `limit` in parts, their HUBS best connected
+    nodes, marked, in each."""
     parts = F.ceil(F.col(size) / limit).cast("int")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("pop").desc(), "node"))
     hubs = rows.where(F.col(size) > limit).withColumn("_rank", rank).where(F.col("_rank") <= HUBS).drop("_rank")
     hubs = hubs.withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1)))
     salted = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    return salted.unionByName(hubs)
+    return salted.withColumn("hub", F.lit(False)).unionByName(hubs.withColumn("hub", F.lit(True)))
 
 
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
@@ -205,12 +213,13 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
                     own, n = sign[a:b], size[a:b]
                     close = np.stack([similarity(own, own[i]) >= least for i in range(b - a)])
                     close &= np.minimum(n[:, None], n) * 100 >= percent * np.maximum(n[:, None], n)
-                    out += [(int(node[a + i]), int(node[a + j])) for i, j in tree(close)]
-            pairs = np.unique(np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1), axis=0)
+                    out += list(zip(roots(close, node[a:b]).tolist(), node[a:b].tolist()))
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_LINK_ARROW)
 
     dealt = spread.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    return materialise(dealt.mapInArrow(run, LINK).where("a <> b").distinct()), pop
+    return materialise(dealt.mapInArrow(run, LINK).distinct()), pop
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -266,28 +275,43 @@ def _arrays(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
+GROUPED = T.StructType([
+    T.StructField("cluster", T.LongType()), T.StructField("members", T.LongType()), T.StructField("a", T.LongType()),
+    T.StructField("b", T.LongType()), T.StructField("label", T.LongType()),
+])
+
+
 def confirm(sets: DataFrame, percent: int) -> DataFrame:
-    """Trees of the exact links inside each part of a cluster."""
-    spread = _spread(sets, "cluster", "members", PART).select("cluster", "chunk", "node", "elements")
+    """The exact components inside each part of a cluster.
+
+    Per node b: the smallest node a of its component, and as label the smallest of the
+    nodes that are in every part, where the component has one, else a. So nodes with one
+    label are connected, whatever their parts.
+    """
+    spread = _spread(sets, "cluster", "members", PART).select("cluster", "chunk", "node", "members", "elements", "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 2):
-            cluster, chunk, node = (np.asarray(table.column(k).combine_chunks()) for k in range(3))
-            out = []
+            cluster, chunk, node, members = (np.asarray(table.column(k).combine_chunks()) for k in range(4))
+            hub = np.asarray(table.column(5).combine_chunks().to_numpy(zero_copy_only=False)).astype(bool)
+            least, label = np.empty_like(node), np.empty_like(node)
             for a, b in _groups(cluster, chunk):
-                own = _arrays(table.column(3).slice(a, b - a))
-                out += [(int(node[a + i]), int(node[a + j])) for i, j in tree(linked(own, own, percent))]
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_LINK_ARROW)
+                own = _arrays(table.column(4).slice(a, b - a))
+                close = linked(own, own, percent)
+                least[a:b] = label[a:b] = roots(close, node[a:b])
+                if hub[a:b].any():
+                    named = roots(close, np.where(hub[a:b], node[a:b], np.iinfo(np.int64).max))
+                    label[a:b] = np.where(named < np.iinfo(np.int64).max, named, label[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cluster, members, least, node, label)], names=GROUPED.names)
 
     dealt = spread.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk")
-    return materialise(dealt.mapInArrow(run, LINK).where("a <> b").distinct())
+    return materialise(dealt.mapInArrow(run, GROUPED))
 
 
-def confirm_rest(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def confirm_rest(sets: DataFrame, confirmed: DataFrame, percent: int) -> DataFrame:
     """In clusters of several parts: nodes outside the largest group against all others."""
-    rows = sets.where(F.col("members") > PART).join(groups.withColumnRenamed("component", "group"), "node", "left")
-    rows = materialise(rows.withColumn("group", F.coalesce("group", "node")))
+    label = confirmed.where(F.col("members") > PART).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("group"))
+    rows = materialise(sets.where(F.col("members") > PART).join(label, "node"))
     sizes = rows.groupBy("cluster", "group").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cluster").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), F.sum("n").alias("all"))
     largest = largest.join(sizes.groupBy("cluster").agg(F.max("n").alias("most")), "cluster")
@@ -335,10 +359,11 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         *[F.first(c).alias(c) for c in ("cluster", "members", "pop", "elements")]
     )
     sets = materialise(sets)
-    first = confirm(sets, percent)
-    groups = components(first)
-    rest = confirm_rest(sets, groups, percent)
-    groups = components(first.unionByName(rest)) if rest.take(1) else groups
+    confirmed = confirm(sets, percent)
+    links = confirmed.select("a", "b")
+    if sets.where(F.col("members") > PART).take(1):
+        links = links.unionByName(confirm_rest(sets, confirmed, percent))
+    groups = components(links)
     group = F.coalesce("component", "node")
     own = nodes.select("digest", "node", "rep").join(groups, "node", "left").select("digest", "rep", group.alias("group"))
     lowest = own.groupBy("group").agg(F.min("rep").alias("component_id"))
@@ -357,7 +382,7 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE, percent: int = PER
     smallest id, once. Documents without words all stay. Rows without an id stay once per
     distinct set unless a row with an id is near."""
     columns = documents.columns
-    found = near_duplicates(documents, shingle, percent).where("kept")
+    found = materialise(near_duplicates(documents, shingle, percent).where("kept"))  # large groups of copies stay split
     worded = found.where("n_shingles > 0").groupBy("doc_id", "digest").agg(F.min("text_hash").alias("__text"))
     kept = worded.select(F.col("doc_id").alias("__id"), "__text").distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
