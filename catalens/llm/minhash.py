@@ -366,7 +366,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     groups = components(links)
     group = F.coalesce("component", "node")
     own = nodes.select("digest", "node", "rep").join(groups, "node", "left").select("digest", "rep", group.alias("group"))
-    lowest = own.groupBy("group").agg(F.min("rep").alias("component_id"))
+    own = materialise(own)
+    lowest = materialise(own.groupBy("group").agg(F.min("rep").alias("component_id")))  # so that a large group's join is split
     table = own.join(lowest, "group").select("digest", "component_id")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (
