@@ -115,6 +115,16 @@ def test_estimated_similarity():
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.06
 
 
+@pytest.mark.parametrize("common", [4, 8, 16])
+def test_no_pair_of_small_sets_is_estimated_away(common):
+    """Pairs at exactly 0.8: chance matches of two bits must be independent of each other."""
+    rng = np.random.RandomState(common)
+    for _ in range(10_000):
+        own = rng.randint(0, 2**63, common + common // 4).astype(np.uint64)
+        packed = [np.frombuffer(minhash.low_bits(minhash.minima(x)), np.uint32).reshape(2, -1) for x in (own, own[:common])]
+        assert minhash.similarity(*packed) >= minhash.near(80)
+
+
 def plain_alignment(item, words):
     best = 0.0
     table = [[0.0] * (len(words) + 1) for _ in range(len(item) + 1)]
