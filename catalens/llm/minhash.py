@@ -10,10 +10,11 @@ start, so a group of copies, however large, costs what one document costs.
    two bits, packed into words. A pair at 0.8 misses all bands once in 50,000.
 2. Candidates. Nodes that share a band hash meet in groups of at most CHUNK: a larger
    group is split by a hash, and its most connected nodes go into every part. Inside a
-   group the counts of equal low bits, corrected for chance, estimate all similarities.
+   group the counts of equal bits, corrected for chance, estimate all similarities.
    Of the pairs over `near`, five standard errors under the threshold, only the
-   components leave the task, as links of each node to the smallest one. The components
-   of all these links are clusters.
+   components leave the task, as links of each node to the smallest one. In groups of
+   several parts every node outside the group's largest component is then compared with
+   all other nodes of the group, part by part. The components of all links are clusters.
 3. Confirmation. The full sets of a cluster meet in parts of at most PART nodes, again
    with its most connected nodes in every part. Exact counts of common elements give
    the links; again only their components leave the task.
@@ -222,7 +223,56 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_LINK_ARROW)
 
     dealt = spread.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    return materialise(dealt.mapInArrow(run, LINK).distinct()), pop
+    links = materialise(dealt.mapInArrow(run, LINK).distinct())
+    large = members.where(F.col("n") > CHUNK)
+    if large.take(1):
+        links = links.unionByName(candidates_rest(large, nodes, links, percent))
+    return links, pop
+
+
+def _grid(rows: DataFrame, outer: str, limit: int, columns: list[str]) -> DataFrame:
+    """Nodes outside the largest `group` of their `outer` group (side 0) and all its nodes
+    (side 1), in cells (i, j) in which each of the former meets each of the latter once."""
+    sizes = materialise(rows.groupBy(outer, "group").agg(F.count("*").alias("n")))
+    largest = sizes.groupBy(outer).agg(
+        F.max_by("group", F.struct("n", "group")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most")
+    )
+    rows = rows.join(largest, outer).withColumn("rest", F.col("all") - F.col("most")).where("rest > 0")
+    left_parts, right_parts = (F.ceil(F.col(c) / limit).cast("int") for c in ("rest", "all"))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    salt = F.xxhash64("node")
+    left = rows.where("group <> largest").withColumn("i", F.pmod(salt, left_parts).cast("int")).withColumn("j", every(right_parts))
+    right = rows.withColumn("j", F.pmod(salt, right_parts).cast("int")).withColumn("i", every(left_parts))
+    columns = [outer, "i", "j", "side", "node", "group", *columns]
+    both = left.withColumn("side", F.lit(0)).select(columns).unionByName(right.withColumn("side", F.lit(1)).select(columns))
+    return both.repartition(outer, "i", "j").sortWithinPartitions(outer, "i", "j", "side")
+
+
+def candidates_rest(large: DataFrame, nodes: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """In band groups of several parts: nodes outside the largest component against all others."""
+    label = components(links).withColumnRenamed("component", "group")
+    own = nodes.select("node", "n_shingles", "bits").join(label, "node", "left")
+    own = own.withColumn("group", F.coalesce("group", "node"))
+    rows = materialise(large.select("key", "node").join(own, "node"))
+    least = near(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 3):
+            key, i, j, side, _, group, size = (np.asarray(table.column(k).combine_chunks()) for k in range(7))
+            sign = planes(table.column(7).combine_chunks())
+            out = [np.empty((0, 2), np.int64)]
+            for a, b in _groups(key, i, j):
+                middle = a + int((side[a:b] == 0).sum())
+                for x in range(a, middle):
+                    close = (similarity(sign[middle:b], sign[x]) >= least) & (group[middle:b] != group[x])
+                    close &= np.minimum(size[middle:b], size[x]) * 100 >= percent * np.maximum(size[middle:b], size[x])
+                    if close.any():
+                        other = np.unique(group[middle:b][close])
+                        out.append(np.stack([np.full(len(other), group[x]), other], axis=1))  # of groups, not of nodes
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_LINK_ARROW)
+
+    return materialise(_grid(rows, "key", CHUNK, ["n_shingles", "bits"]).mapInArrow(run, LINK).distinct())
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -315,17 +365,6 @@ def confirm_rest(sets: DataFrame, confirmed: DataFrame, percent: int) -> DataFra
     """In clusters of several parts: nodes outside the largest group against all others."""
     label = confirmed.where(F.col("members") > PART).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("group"))
     rows = materialise(sets.where(F.col("members") > PART).join(label, "node"))
-    sizes = rows.groupBy("cluster", "group").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("cluster").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), F.sum("n").alias("all"))
-    largest = largest.join(sizes.groupBy("cluster").agg(F.max("n").alias("most")), "cluster")
-    rows = rows.join(largest, "cluster").withColumn("rest", F.col("all") - F.col("most")).where("rest > 0")
-    left_parts, right_parts = (F.ceil(F.col(c) / PART).cast("int") for c in ("rest", "all"))
-    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
-    salt = F.xxhash64("node")
-    left = rows.where("group <> largest").withColumn("i", F.pmod(salt, left_parts).cast("int")).withColumn("j", every(right_parts))
-    right = rows.withColumn("j", F.pmod(salt, right_parts).cast("int")).withColumn("i", every(left_parts))
-    columns = ["cluster", "i", "j", "side", "node", "group", "elements"]
-    both = left.withColumn("side", F.lit(0)).select(columns).unionByName(right.withColumn("side", F.lit(1)).select(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 3):
@@ -343,8 +382,7 @@ def confirm_rest(sets: DataFrame, confirmed: DataFrame, percent: int) -> DataFra
             pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_LINK_ARROW)
 
-    dealt = both.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
-    return materialise(dealt.mapInArrow(run, LINK).distinct())
+    return materialise(_grid(rows, "cluster", PART, ["elements"]).mapInArrow(run, LINK).distinct())
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

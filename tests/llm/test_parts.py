@@ -101,6 +101,30 @@ def test_large_groups_are_split_and_stay_exact(spark, monkeypatch):
     assert 3 < len({c for _, c in expected.values()}) < 100
 
 
+def test_pairs_of_a_split_group_meet_without_hubs(spark, monkeypatch):
+    """Pages of a template, too far from each other for hubs, that hold near pairs."""
+    for name, value in (("CHUNK", 8), ("PART", 4), ("HUBS", 2)):
+        monkeypatch.setattr(minhash, name, value)
+    # One band hash for all nodes, and another for all: no second chance in a small group.
+    hashes = minhash.band_hashes
+    monkeypatch.setattr(minhash, "band_hashes", lambda m: np.arange(2, dtype=np.int64) + 0 * hashes(m)[:2])
+    rng, texts = random.Random(6), []
+    template = [f"t{i}" for i in range(40)]
+    for page in range(60):
+        own = template + [f"p{page}x{i}" for i in range(40)]
+        texts.append(" ".join(own))
+        if page % 2:
+            own[-rng.randrange(1, 4)] = f"q{page}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from tests.llm.test_queries import brute_components
+
+    expected = brute_components(dict(enumerate(texts)), 2, 80)
+    assert len({c for _, c in expected.values()}) == 60
+    rows = minhash.near_duplicates(docs, shingle=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {d: c for d, (_, c) in expected.items()}
+
+
 def test_estimated_similarity():
     rng = np.random.RandomState(1)
     errors = []
