@@ -1,6 +1,8 @@
 """Training documents that hold test items, exact or edited.
 
-Words are runs of letters and digits, lower-cased. The 3-word runs of the items are
+Words are runs of letters, marks and digits, lower-cased; in scripts written without
+blanks (Han, kana, Thai, Lao, Khmer, Burmese) every character is a word. Punctuation and
+symbols of all scripts part words. The 3-word runs of the items are
 counted over all documents; of each item the rarer three quarters (by documents and
 items that hold them) are its seeds, so an item's own frequent copies don't cost it its
 seeds, and its common phrases seed nothing. Where a document holds a seed, the item is
@@ -10,8 +12,9 @@ the item's number of words: 1 for a copy, 0.85 with one word in ten changed.
 
 The test set is taken in blocks of `block_bytes` of text, which bounds what a task
 holds; every document is compared with every block. Documents are not shuffled, and a
-text is read whole, however long. Null and empty texts hold nothing; items of fewer
-than 3 words are found nowhere. Equal documents, or equal items, each get their rows.
+text is read whole, however long. Null and empty texts hold nothing. Items of fewer than
+3 words have no 3-word run and say little inside other text: they are found in the
+documents whose words are just theirs, and in no longer ones. Equal documents, or equal items, each get their rows.
 Of several places the first with the best score is reported. Empty tables give an
 empty result; extra columns are not read.
 """
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,18 @@ THRESHOLD = 0.5
 COST = 0.5
 RARE = 0.75
 BLOCK_BYTES = 8 << 20
+#: Outside ASCII: all but letters, marks, digits and controls, and two blanks of no width.
+_PARTING = r"[^\x00-\x7F\p{L}\p{M}\p{N}\p{C}]|[\x{85}\x{200B}\x{FEFF}]"
+_CHARACTER = r"([\p{Han}\p{Hiragana}\p{Katakana}\x{30FC}\x{FF70}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)"
+
+
+def parted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lower-cased texts, and where each text's words begin."""
+    texts = texts.cast(pa.large_string())
+    if not pc.all(pc.string_is_ascii(texts)).as_py():
+        texts = pc.replace_substring_regex(texts, _PARTING, " ")
+        texts = pc.replace_substring_regex(texts, _CHARACTER, r" \1 ")
+    return word_hashes(texts, NOT_ALNUM)
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
@@ -73,6 +89,10 @@ class Items:
         self.at = np.concatenate([np.arange(len(g)) for g in grams] or [np.empty(0, np.int64)])
         every = np.concatenate(grams or [np.empty(0, np.uint64)])
         self.seeds, self.seed = np.unique(every, return_inverse=True)
+        self.short: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if 0 < len(w) < GRAM:
+                self.short[tuple(w.tolist())].append(i)
         self._index()
 
     def _index(self) -> None:
@@ -107,7 +127,7 @@ class Items:
                 own = order[a:b]
                 keep[own] = rarity[own] <= rarity[own[max(0, int(np.ceil((b - a) * RARE)) - 1)]]
         new = object.__new__(Items)
-        new.ids, new.words = self.ids, self.words
+        new.ids, new.words, new.short = self.ids, self.words, self.short
         new.item, new.at = self.item[keep], self.at[keep]
         kept = np.unique(self.seed[keep])
         new.seeds, new.seed = self.seeds[kept], np.searchsorted(kept, self.seed[keep])
@@ -117,7 +137,12 @@ class Items:
     def matches(self, texts: pa.Array, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, end word) for all items over the threshold."""
         for start, stop in slices(texts):
-            words, firsts = word_hashes(texts.slice(start, stop - start), NOT_ALNUM)
+            words, firsts = parted(texts.slice(start, stop - start))
+            if self.short:
+                lengths = np.diff(firsts)
+                for t in np.flatnonzero((lengths > 0) & (lengths < GRAM)).tolist():
+                    for i in self.short.get(tuple(words[firsts[t] : firsts[t + 1]].tolist()), []):
+                        yield start + t, self.ids[i], 1.0, 0, int(lengths[t])
             text, at, seed = self.found(words, firsts)
             spread = self.first[seed + 1] - self.first[seed]
             which = np.repeat(np.arange(len(seed)), spread)
@@ -163,7 +188,7 @@ def _documents_with(documents: DataFrame, items: Items) -> np.ndarray:
         for batch in batches:
             texts = batch.column(0)
             for start, stop in slices(texts):
-                text, _, seed = items.found(*word_hashes(texts.slice(start, stop - start), NOT_ALNUM))
+                text, _, seed = items.found(*parted(texts.slice(start, stop - start)))
                 once = np.unique(text.astype(np.int64) * len(total) + seed) % max(1, len(total))
                 total += np.bincount(once, minlength=len(total))
         seen = np.flatnonzero(total)
@@ -186,7 +211,7 @@ def blocks(benchmark: DataFrame, documents: DataFrame, block_bytes: int = BLOCK_
         part = placed.where(F.col("block") == number).orderBy("item_id", "text").select("item_id", "text").collect()
         if not part:
             continue
-        words, firsts = word_hashes(pa.array([r["text"] for r in part], pa.string()), NOT_ALNUM)
+        words, firsts = parted(pa.array([r["text"] for r in part], pa.large_string()))
         items = Items([r["item_id"] for r in part], [words[a:b] for a, b in zip(firsts, firsts[1:])])
         yield items.rare(_documents_with(documents, items))
 

@@ -113,6 +113,21 @@ def test_edited_copies_are_found(spark):
     assert sorted(r["doc_id"] for r in found.collect()) == [0, 1, 2]
 
 
+def test_items_of_any_script_and_length_are_found(spark):
+    items = {
+        1: "水是由氢和氧组成的化合物。", 2: "東京は日本の首都ですか？", 3: "เมืองหลวงของประเทศไทยคือกรุงเทพ", 4: "Solo", 5: "Forty-two",
+        6: "où—est…«la»—gare", 7: "你好",
+    }
+    texts = [f"前文「{items[1]}」后文", f"質問：{items[2]}答え", f"ก่อน {items[3]} หลัง", "solo!", "forty two", "vu: où est la gare ?", "你好！"]
+    texts += ["solo and more words", "天气很好我们去公园散步吧", "水由氢和氧合成的化合物"]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(docs, bench).collect()}
+    assert {k for k, score in found.items() if score == 1.0} == {(i, i) for i in items}
+    assert found.keys() - {(i, i) for i in items} == {(10, 1)}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()} == {8, 9}
+
+
 def test_shards(spark, docs, none):
     rows = shards.shard_documents(docs, shards=3, slots=64)
     assert rows.count() == len(ROWS)
