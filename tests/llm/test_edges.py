@@ -203,6 +203,23 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(narrow.limit(0))[0].count() == mixing.mix_documents(none).count() == 0
 
 
+def test_small_sources_reach_their_targets(spark):
+    rows = [(i, f"s{i % 3000}", 5 + i * 7 % 60) for i in range(9000)] + [(9000, "one", 70), (9001, "two", 20), (9002, "long", 5000), (9003, "empty", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    names = sorted({r[1] for r in rows})
+    for weights in (None, spark.createDataFrame([(s, 0.2 + 7 * i % 13) for i, s in enumerate(names)], "source string, weight double")):
+        mixed, plan = mixing.mix(docs, weights)
+        taken, target, size = Counter(), {}, Counter()
+        for r in mixed.collect():
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+            size[r["source"]] += r["size"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - target[s]) <= 1.5 for s in names)
+        assert abs(sum(taken.values()) - sum(target.values())) <= 1
+        assert all(r["words"] == taken[r["source"]] and r["quota"] == r["words"] // 64 for r in plan.collect())
+
+
 def test_neighbours(spark):
     nan, inf = float("nan"), float("inf")
     schema = "vec_id long, embedding array<float>, point long, ids string"
