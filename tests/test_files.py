@@ -49,6 +49,16 @@ def test_raw_csv_follows_the_header_and_skips_bad_lines(spark, tmp_path):
     assert back.count() == back.agg(F.count("*")).first()[0] == 3
 
 
+def test_raw_schema_query_reads_files_of_the_whole_table(spark, monkeypatch):
+    from catalens.bindings import queries
+    from catalens.bindings.tables import raw_catalog
+
+    sf, read, paths = "/root/testdata/sf0.001", files.raw_schema, []
+    monkeypatch.setattr(files, "raw_schema", lambda s, path: paths.append(path) or read(s, path))
+    assert [r["column_name"] for r in queries._raw_schema(spark, sf).collect()] == list(RAW_COLUMNS)
+    assert files.read_raw_csv(spark, paths[0], text_schema()).count() == raw_catalog(spark, sf).count()
+
+
 def test_files_without_line_breaks_are_split(spark, raw_frame, folder):
     raw = raw_frame(*[row(id=i, title=f'T "{i}", ok') for i in range(200)])
     files.write_raw_csv(raw.coalesce(1), f"{folder}/raw")
