@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import chat, decontaminate, minhash, mixing, nndescent, quality, shards, tokencount, tokenfile, warc
+from catalens.llm import (
+    centroids, chat, decontaminate, infill, licenses, minhash, mixing, nndescent, quality, shards, tokencount, tokenfile, warc,
+)
 from catalens.llm.store import materialise
 from catalens.llm.vocab import read_vocabulary
 
@@ -77,6 +79,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.label_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, found = centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(assigned, found)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = infill.restore(infill.transform(_table(spark, sf_dir, "documents")))
+    return formed.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_warc, op2_chat, op3_decontaminate, op4_shards, op5_minhash, op6_tokens, op7_mixing, op8_tokencount, op9_nndescent, op10_quality]
+    own = [
+        op1_warc, op2_chat, op3_decontaminate, op4_shards, op5_minhash, op6_tokens, op7_mixing, op8_tokencount, op9_nndescent,
+        op10_quality, op11_licenses, op12_centroids, op13_infill,
+    ]
     return {f.__name__: f for f in own}
