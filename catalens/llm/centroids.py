@@ -1,8 +1,9 @@
 """Exact k-means over integer vectors, with distances bounded in a rotated space.
 
 Every component x becomes floor(scale * x). The principal axes of all vectors (from
-summed moments) give a rotation; each vector is stored once with its first `leading`
-rotated coordinates and the norm of the rest. The squared distance of two vectors is at
+summed moments) give a rotation; each vector is stored once with its leading rotated
+coordinates, as many as explain a given share of the variance, and the norm of the rest.
+The squared distance of two vectors is at
 least that of the leading coordinates plus the squared difference of the rest norms. So
 per vector the centroid with the smallest bound is measured first, and then only those
 whose bound does not exceed that distance, all in 64-bit integers. Bounds carry a margin
@@ -80,7 +81,7 @@ class Rotation:
         return np.ascontiguousarray(turned[:, : self.leading]), np.linalg.norm(turned[:, self.leading :], axis=1)
 
 
-def fit_rotation(vectors: DataFrame, dimensions: int, scale: float, leading: int) -> Rotation:
+def fit_rotation(vectors: DataFrame, dimensions: int, scale: float, explained: float) -> Rotation:
     """From the summed first and second moments of all vectors (see `whole_vectors`)."""
     upper = np.triu_indices(dimensions)
 
@@ -101,18 +102,20 @@ def fit_rotation(vectors: DataFrame, dimensions: int, scale: float, leading: int
     covariance = np.zeros((dimensions, dimensions))
     covariance[upper] = values[1 + dimensions :]
     covariance = (covariance + np.triu(covariance, 1).T) / count - np.outer(mean, mean)
-    _, axes = np.linalg.eigh(covariance)
+    variances, axes = np.linalg.eigh(covariance)
+    shares = np.cumsum(np.maximum(variances[::-1], 0))
+    leading = int(np.searchsorted(shares, explained * shares[-1])) + 1
     return Rotation(mean, axes[:, ::-1].copy(), min(leading, dimensions))
 
 
 def store(vectors: DataFrame, rotation: Rotation, dimensions: int, scale: float) -> DataFrame:
-    """vec_id, units (32-bit integers), lead (doubles), rest of every vector, written once."""
+    """vec_id, units (32-bit integers), lead (floats), rest of every vector, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = _units(batch.column(1), dimensions, scale)
             lead, rest = rotation(units)
-            packed = [pa.array(map(bytes, rows), pa.binary()) for rows in (units.astype("<i4"), lead)]
+            packed = [pa.array(map(bytes, rows), pa.binary()) for rows in (units.astype("<i4"), lead.astype("<f4"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *packed, pa.array(rest)], names=_STORED.names)
 
     return materialise(vectors.mapInArrow(run, _STORED))
@@ -141,8 +144,8 @@ class Nearest:
         """Number of the nearest centroid and the squared distance, per vector."""
         own, other = (lead**2).sum(axis=1)[:, None], (self.lead**2).sum(axis=1)
         bound = own + other - 2 * (lead @ self.lead.T) + (rest[:, None] - self.rest) ** 2
-        # Rounding is far below a billionth of the terms that were added.
-        bound -= 1e-9 * (own + other + rest[:, None] ** 2 + self.rest**2) + 1e-6
+        # The rounding of stored coordinates, to 24 bits, is below a millionth of the terms that were added.
+        bound -= 1e-6 * (own + other + rest[:, None] ** 2 + self.rest**2) + 1e-6
         cluster = bound.argmin(axis=1)
         distance = self._measure(units, self.centroids[cluster])
         open_ = bound <= distance[:, None]
@@ -162,7 +165,7 @@ class Nearest:
 
 def _assigned(batch: pa.RecordBatch, nearest: Nearest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     units = _packed(batch.column("units"), "<i4", batch.num_rows).astype(np.int64)
-    lead = _packed(batch.column("lead"), "<f8", batch.num_rows)
+    lead = _packed(batch.column("lead"), "<f4", batch.num_rows).astype(np.float64)
     return units, *nearest(units, lead, np.asarray(batch.column("rest")))
 
 
@@ -212,12 +215,12 @@ def assign(stored: DataFrame, centroids: np.ndarray, rotation: Rotation) -> Data
 
 
 def cluster_vectors(
-    vectors: DataFrame, k: int = 8, rounds: int = 10, dimensions: int = 64, scale: float = 1024.0, seed: int = 3, leading: int = 16,
+    vectors: DataFrame, k: int = 8, rounds: int = 10, dimensions: int = 64, scale: float = 1024.0, seed: int = 3, explained: float = 0.75,
     id_column: str = "vec_id", vector_column: str = "embedding",
 ) -> tuple[DataFrame, np.ndarray]:
     """vec_id, cluster, distance of every vector that takes part, and the final centroids."""
     whole = whole_vectors(vectors, dimensions, id_column, vector_column)
-    rotation = fit_rotation(whole, dimensions, scale, leading)
+    rotation = fit_rotation(whole, dimensions, scale, explained)
     stored = store(whole, rotation, dimensions, scale)
     centroids = first_centroids(stored, k, seed)
     if not len(centroids):

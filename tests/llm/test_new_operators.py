@@ -154,14 +154,19 @@ def test_bounds_leave_most_centroids_unmeasured_and_lose_none(spark):
     units = np.floor(np.array(vectors["embedding"].to_pylist()) * 1024).astype(np.int64)
     frame = spark.read.parquet(f"{SF}/embeddings.parquet")
     _, found = centroids.cluster_vectors(frame)
-    rotation = centroids.fit_rotation(centroids.whole_vectors(frame, 64), 64, 1024.0, 16)
+    rotation = centroids.fit_rotation(centroids.whole_vectors(frame, 64), 64, 1024.0, 0.75)
     nearest = centroids.Nearest(found, rotation)
-    cluster, distance = nearest(units, *rotation(units))
+
+    def stored(vectors):
+        lead, rest = rotation(vectors)
+        return lead.astype(np.float32).astype(np.float64), rest
+
+    cluster, distance = nearest(units, *stored(units))
     exact = ((units[:, None] - found) ** 2).sum(axis=2)
     assert (exact.argmin(axis=1) == cluster).all() and (exact.min(axis=1) == distance).all()
     assert nearest.measured < nearest.seen / 2
     far = units * 100_000  # rounding of large numbers
-    cluster, distance = nearest(far, *rotation(far))
+    cluster, distance = nearest(far, *stored(far))
     exact = ((far[:, None] - found) ** 2).sum(axis=2)
     assert (exact.argmin(axis=1) == cluster).all() and (exact.min(axis=1) == distance).all()
 
