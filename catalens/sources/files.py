@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalens.schema import ANALYSIS_COLUMNS, CLEAN_SCHEMA, text_schema
+from catalens.sources import split_csv
 
 # Quotes inside quoted text are doubled.
 _CSV = {"header": True, "quote": '"', "escape": '"'}
@@ -66,20 +67,39 @@ def raw_schema(spark: SparkSession, path: str) -> T.StructType:
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True, keep_malformed: bool = False
 ) -> DataFrame:
     """The raw files as text columns; lines with a wrong number of fields are skipped.
 
     The header of every file must name the columns in the same order, else reading
-    fails. Where texts hold line breaks a file cannot be split, so each file is one
-    task and a large table should arrive as many files. Where they do not, set
-    `line_breaks=False` and Spark splits large files by itself.
+    fails. Files are read in splits, also where texts hold line breaks (see `split_csv`);
+    that takes a pass of its own over files of more than one split, at once, and its small
+    table stays in the shared folder for as long as the frame is used. Where no text holds
+    a line break, `line_breaks=False` saves that pass. With `keep_malformed` skipped lines
+    stay as rows whose column `_malformed` has their text.
     """
+    schema = schema or raw_schema(spark, path)
+    if not line_breaks:
+        return _read_lines(spark, path, schema, keep_malformed)
+    states = materialise(split_csv.split_states(spark, path), shared_folder(spark))
+    return split_csv.parse(split_csv.records(spark, path, schema.names, states), schema.names, keep_malformed)
+
+
+def read_whole_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """As `read_raw_csv`, with each file in one task."""
+    return _csv_reader(spark, "DROPMALFORMED", multiLine=True).schema(schema).csv(path)
+
+
+def _csv_reader(spark: SparkSession, mode: str, **options):
     # Without column pruning a count, too, sees which lines are malformed.
-    reader = spark.read.options(
-        **_CSV, mode="DROPMALFORMED", multiLine=line_breaks, enforceSchema=False, columnPruning=False
-    )
-    return reader.schema(schema or raw_schema(spark, path)).csv(path)
+    return spark.read.options(**_CSV, mode=mode, enforceSchema=False, columnPruning=False, **options)
+
+
+def _read_lines(spark: SparkSession, path: str, schema: T.StructType, keep_malformed: bool) -> DataFrame:
+    if not keep_malformed:
+        return _csv_reader(spark, "DROPMALFORMED").schema(schema).csv(path)
+    wider = T.StructType([*schema, T.StructField(split_csv.MALFORMED, T.StringType())])
+    return _csv_reader(spark, "PERMISSIVE", columnNameOfCorruptRecord=split_csv.MALFORMED).schema(wider).csv(path)
 
 
 def write_raw_csv(rows: DataFrame, path: str) -> None:
