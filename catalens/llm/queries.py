@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.write_warc(_table(spark, sf_dir, "pages"), revisit_from=0, file_bytes=64 << 20)
+    folder = warc.write_warc(_table(spark, sf_dir, "pages"), revisit_from=0, file_bytes=16 << 20)
     return warc.read_warc(spark, folder, payloads=False).drop("payload", "file", "target_uri")
 
 

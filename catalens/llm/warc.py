@@ -1,26 +1,35 @@
 """Web pages as WARC files and back.
 
 The writer orders records by (page_id, url, payload digest), nulls last, and cuts that
-order into shards by the running total of payload bytes, so neither the number of tasks
-nor their order changes a file. Each shard is written by one task as a run of files, a
-new one after the record that brings a file to `file_bytes` compressed bytes. Every
-record is its own gzip member, with headers and digests made anew. Files get their
+order into shards by a running total of bytes, so neither the number of tasks nor their
+order changes a file. A shard is several files' worth and is written by one task as a run
+of files, a new one after the record that brings a file to `file_bytes` compressed bytes.
+Every record is its own gzip member, with headers and digests made anew. Files get their
 names and the manifest only after all of them are written (see `store`).
 
+Pages are shuffled once, compressed. What each record is and where it goes is decided on
+narrow rows before; the first key of every shard, MAX_SHARDS at most, tells the tasks that
+compress where a page goes, and the narrow rows meet the pages in the writer. Pages that
+only repeat one of the MOST_REPEATED payloads that save most are neither compressed nor
+shuffled.
+
 Of the records with equal payloads of at least `revisit_from` bytes, the one with the
 largest page_id (then url) is the response; the others are revisits that point to it
 and hold its HTTP header only. A null html is an empty payload, a null url
 `urn:absent`, a null page_id a missing header. Equal rows are separate records: the
-first is what the order makes it, the others revisit it. An empty table makes no file.
-Only the three columns are read.
+first is what the order makes it, the others revisit it, and however many there are, they
+fill as many shards as their bytes ask for (payloads under `revisit_from`: one shard).
+An empty table makes no file. Only the three columns are read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -33,7 +42,10 @@ from catalens.llm.store import (
     ENTRY, ENTRY_ARROW, commit, materialise, open_folder, read_manifest, running_total, scratch, temporary_name,
 )
 
-MIN_SHARD, MAX_SHARD, MAX_SHARDS = 16 << 20, 1 << 30, 4096
+#: Files' worth of plain bytes in a shard, and the number of shards beyond which they get larger.
+FILES_A_SHARD, MAX_SHARDS = 4, 1 << 16
+MOST_REPEATED = 4096
+HEAD_BYTES = 512  # of a record, about
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6f0a4b52-7c1e-5a39-9d53-2f6a0e1b8c47")
@@ -78,19 +90,50 @@ def _page_columns(pages: DataFrame) -> DataFrame:
     )
 
 
-def decide(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
-    """Per distinct (page_id, url, payload): how often it occurs and what it refers to."""
+def decide(pages: DataFrame, revisit_from: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Per distinct (page_id, url, payload): how often it occurs and what it refers to; and
+    the payloads that several records share, with the record that holds each."""
     records = _page_columns(pages).drop("html").groupBy("page_id", "url", "sha1", "size").agg(F.count("*").alias("copies"))
     records = materialise(records)
-    groups = records.where(F.col("size") >= revisit_from).groupBy("sha1").agg(
+    groups = records.where(F.col("size") >= revisit_from).groupBy("sha1", "size").agg(
         F.max(F.struct("page_id", "url")).alias("to"), F.sum("copies").alias("n")
     )
-    groups = groups.where("n > 1").select("sha1", "to")
+    groups = materialise(groups.where("n > 1"))  # so that the join splits a payload that very many pages share
     own = F.col("to.page_id").eqNullSafe(F.col("page_id")) & F.col("to.url").eqNullSafe(F.col("url"))
-    return records.join(groups, "sha1", "left").withColumn("first_is_response", F.col("to").isNull() | own)
+    joined = records.join(groups.select("sha1", "to"), "sha1", "left").withColumn("response", F.col("to").isNull() | own)
+    return joined, groups
+
+
+def _placed(decisions: DataFrame, shard_bytes: int | None, file_bytes: int) -> DataFrame:
+    """A row per record and shard with the copies that go there, from copy_from up to copy_to."""
+    whole, bare = F.col("size") + HEAD_BYTES, F.lit(HEAD_BYTES).cast("long")
+    costs = decisions.withColumn("first_cost", F.when(F.col("response"), whole).otherwise(bare)).withColumn(
+        "next_cost", F.when(F.col("to").isNull(), whole).otherwise(bare)
+    )
+    costs = materialise(running_total(costs, _ORDER, F.col("first_cost") + (F.col("copies") - 1) * F.col("next_cost"), "before"))
+    if shard_bytes is None:
+        total = costs.agg(F.sum(F.col("first_cost") + (F.col("copies") - 1) * F.col("next_cost"))).first()[0] or 0
+        shard_bytes = max(FILES_A_SHARD * file_bytes, -(-total // MAX_SHARDS))
+    second = F.col("before") + F.col("first_cost")
+
+    def copies_before(end):
+        """How many copies begin before byte `end`; one that has begun counts."""
+        more = F.floor((end - second + F.col("next_cost") - 1) / F.col("next_cost")).cast("long")
+        return F.least(F.col("copies"), 1 + F.greatest(F.lit(0).cast("long"), more))
+
+    first = F.floor(F.col("before") / shard_bytes).cast("long")
+    last = F.floor((second + (F.col("copies") - 2) * F.col("next_cost")) / shard_bytes).cast("long")
+    # Without a shared payload every copy needs the page, which goes to one shard.
+    spread = F.col("to").isNotNull() & (F.col("copies") > 1)
+    shards = costs.withColumn("first", first).withColumn("shard", F.explode(F.sequence("first", F.when(spread, last).otherwise(first))))
+    begin = F.when(F.col("shard") > F.col("first"), copies_before(F.col("shard") * shard_bytes)).otherwise(0)
+    end = F.when(spread, copies_before((F.col("shard") + 1) * shard_bytes)).otherwise(F.col("copies"))
+    placed = shards.withColumn("copy_from", begin.cast("long")).withColumn("copy_to", end.cast("long")).where("copy_from < copy_to")
+    return placed.select("shard", *_ORDER, "size", "to", "response", "copy_from", "copy_to")
 
 
 _BUILT = T.StructType([
+    T.StructField("shard", T.LongType()),
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),
     T.StructField("sha1", T.StringType()),
@@ -99,41 +142,56 @@ _BUILT = T.StructType([
 ])
 
 
+def _key(page_id: int | None, url: str | None, sha1: str) -> tuple:
+    """Sorts as the records are ordered: ascending, nulls last."""
+    return (page_id is None, page_id or 0, url is None, url or "", sha1)
+
+
 def write_warc(
     pages: DataFrame, folder: str | None = None, revisit_from: int = 0, file_bytes: int = 1 << 30, shard_bytes: int | None = None
 ) -> str:
     """Write all pages; returns the folder of the files and their manifest."""
     spark = pages.sparkSession
     folder = folder or scratch(spark)
-    decisions = materialise(running_total(decide(pages, revisit_from), _ORDER, F.col("copies") * (F.col("size") + 512), "before"))
-    if shard_bytes is None:
-        total = decisions.agg(F.sum(F.col("copies") * (F.col("size") + 512))).first()[0] or 0
-        shard_bytes = min(MAX_SHARD, max(MIN_SHARD, total // MAX_SHARDS))
-    decisions = decisions.withColumn("shard", F.floor(F.col("before") / shard_bytes).cast("long"))
+    decisions, groups = decide(pages, revisit_from)
+    placed = materialise(_placed(decisions, shard_bytes, file_bytes))
+    flagged = F.struct(F.isnull("page_id").alias("a"), "page_id", F.isnull("url").alias("b"), "url", "sha1")
+    cuts = placed.where("copy_from = 0").groupBy("shard").agg(F.min(flagged).alias("key")).orderBy("shard").collect()
+    first_keys = [_key(r["key"]["page_id"], r["key"]["url"], r["key"]["sha1"]) for r in cuts]
+    numbers = [r["shard"] for r in cuts]
+    often = groups.orderBy(F.desc((F.col("n") - 1) * F.col("size")), "sha1").limit(MOST_REPEATED).collect()
+    repeated = {r["sha1"]: (r["to"]["page_id"], r["to"]["url"]) for r in often}
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Responses are compressed before any shuffle, so that no shuffle moves plain pages."""
+        """Pages compressed before the shuffle; of equal rows in a batch, one."""
         for batch in batches:
+            seen: set[tuple] = set()
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                keys = [part.column(k) for k in range(4)]
-                rows = zip(*(column.to_pylist() for column in part.columns))
-                data = [member(*key, payload.encode()) for *key, payload in rows]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(data, pa.binary())], names=_BUILT.names)
+                rows = []
+                for page_id, url, sha1, size, html in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    key = (page_id, url, sha1)
+                    if key in seen or repeated.get(sha1, key[:2]) != key[:2]:
+                        continue
+                    seen.add(key)
+                    shard = numbers[bisect_right(first_keys, _key(*key)) - 1]
+                    rows.append((shard, *key, size, member(*key, size, html.encode())))
+                columns = list(zip(*rows)) or [()] * len(_BUILT)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64() if k in (0, 1, 4) else pa.binary() if k == 5 else pa.string()) for k, c in enumerate(columns)],
+                    names=_BUILT.names,
+                )
 
     built = _page_columns(pages).mapInArrow(build, _BUILT)
-    a, b = built.alias("a"), decisions.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _ORDER]
-    joined = a.join(b, same).select(
-        "b.shard", "a.page_id", "a.url", "a.sha1", "a.size",
-        F.when(F.col("b.first_is_response"), F.col("a.member")).alias("member"),  # none for a revisit
-        F.col("b.to").isNotNull().alias("shared"), F.col("b.to.page_id").alias("to_id"), F.col("b.to.url").alias("to_url"),
+    narrow = placed.select(
+        "shard", *_ORDER, "size", F.lit(None).cast("binary").alias("member"), F.col("to").isNotNull().alias("shared"), "response",
+        F.col("to.page_id").alias("to_id"), F.col("to.url").alias("to_url"), "copy_from", "copy_to",
     )
+    rows = narrow.unionByName(built, allowMissingColumns=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_folder(folder)
         store.create_dir(f"{base}/temporary", recursive=True)
-        shard, seq, out, name, size, records, last, copy = None, 0, None, "", 0, 0, None, 0
+        shard, seq, out, name, size, records, decision = None, 0, None, "", 0, 0, None
 
         def entry() -> pa.RecordBatch:
             out.close()
@@ -143,32 +201,46 @@ def write_warc(
             }
             return pa.RecordBatch.from_pylist([row], ENTRY_ARROW)
 
+        def members(r: dict) -> Iterator[bytes]:
+            """The members that a row completes. A decision comes before its page."""
+            nonlocal decision
+            key = (r["page_id"], r["url"], r["sha1"])
+            if r["copy_to"] is not None:
+                decision = r if r["response"] and r["copy_from"] == 0 else None
+                first, last = r["copy_from"], r["copy_to"]
+                if decision is None:
+                    refers = key[:2] if r["response"] else (r["to_id"], r["to_url"])
+                    yield from (member(*key, r["size"], None, copy, refers) for copy in range(first, last))
+            elif decision is not None and key == (decision["page_id"], decision["url"], decision["sha1"]):
+                last, shared, decision = decision["copy_to"], decision["shared"], None
+                yield r["member"]
+                if last > 1:
+                    payload = None if shared else next(parse_members(io.BytesIO(r["member"])))[1].partition(b"\r\n\r\n")[2]
+                    for copy in range(1, last):
+                        yield member(*key, r["size"], payload, copy, key[:2] if shared else None)
+
         for batch in batches:
-            for r in batch.to_pylist():
-                if shard != r["shard"]:
-                    if out is not None:
-                        yield entry()
-                    shard, seq, out = r["shard"], 0, None
-                if out is None:
-                    name, size, records = temporary_name(), 0, 0
-                    out = store.open_output_stream(f"{base}/{name}", compression=None)
-                key, data = (r["page_id"], r["url"], r["sha1"]), r["member"]
-                refers = (r["to_id"], r["to_url"]) if data is None else key[:2]
-                copy = copy + 1 if key == last else 0
-                last = key
-                if data is None or copy and r["shared"]:
-                    data = member(*key, r["size"], None, copy, refers)
-                out.write(data)
-                size, records = size + len(data), records + 1
-                if size >= file_bytes:
-                    yield entry()
-                    seq, out = seq + 1, None
+            for at in range(0, batch.num_rows, 256):
+                for r in batch.slice(at, 256).to_pylist():
+                    if shard != r["shard"]:
+                        if out is not None:
+                            yield entry()
+                        shard, seq, out, decision = r["shard"], 0, None, None
+                    for data in members(r):
+                        if out is None:
+                            name, size, records = temporary_name(), 0, 0
+                            out = store.open_output_stream(f"{base}/{name}", compression=None)
+                        out.write(data)
+                        size, records = size + len(data), records + 1
+                        if size >= file_bytes:
+                            yield entry()
+                            seq, out = seq + 1, None
         if out is not None:
             yield entry()
 
-    order = [F.col(c).asc_nulls_last() for c in _ORDER]
-    members = joined.repartition("shard").sortWithinPartitions("shard", *order)
-    commit(members.mapInArrow(write, ENTRY), folder)
+    order = [F.col(c).asc_nulls_last() for c in [*_ORDER, "copy_to"]]
+    dealt = rows.repartition(max(1, numbers[-1] + 1 if numbers else 1), "shard").sortWithinPartitions("shard", *order)
+    commit(dealt.mapInArrow(write, ENTRY), folder)
     return folder
 
 

@@ -57,6 +57,8 @@ def test_warc(spark):
         (4, 0, "response", None, ""), (None, len(LONG), "response", None, LONG), (5, 20, "response", None, "é" * 10),
     ])
     assert warc.read_manifest(spark, folder).count() > 1
+    spread = warc.write_warc(pages, file_bytes=300, shard_bytes=700)
+    assert got(warc.read_warc(spark, spread).select("page_id", "payload_bytes", "record_type", "refers_to", F.decode("payload", "UTF-8"))) == rows
     apart = warc.write_warc(pages, revisit_from=5)
     assert warc.read_warc(spark, apart).where("record_type = 'revisit'").count() == 0
     assert warc.read_warc(spark, warc.write_warc(spark.createDataFrame([], schema))).count() == 0
@@ -75,6 +77,18 @@ def test_warc_files_do_not_depend_on_partitions(spark):
     assert first == second and len(first[0]) == len(first[1]) > 3
 
 
+def test_warc_copies_of_one_row_fill_several_shards_and_files(spark):
+    same = spark.range(0, 3000, numPartitions=3).select(F.lit(5).alias("page_id"), F.lit("http://s").alias("url"), F.lit("text " * 40).alias("html"))
+    others = spark.range(40).select("id", F.concat(F.lit("http://"), "id"), F.when(F.col("id") % 2 == 0, "text " * 40).otherwise(F.repeat(F.lit("x"), 300)))
+    for revisit_from, responses in ((0, 2), (500, 3040)):
+        folder = warc.write_warc(same.union(others), file_bytes=20_000, shard_bytes=100_000, revisit_from=revisit_from)
+        rows = got(warc.read_warc(spark, folder).select("page_id", "record_type", "refers_to"))
+        assert sum(rows.values()) == 3040 and sum(n for (_, kind, _), n in rows.items() if kind == "response") == responses
+        assert rows[5, "revisit", 38] == (3000 if revisit_from == 0 else 0)
+        files = warc.read_manifest(spark, folder).groupBy("shard").count().collect()
+        assert max(r["count"] for r in files) > 1 and (len(files) > 10 if revisit_from == 0 else len(files) > 1)
+
+
 def test_chat(spark):
     odd = ["<|im_end|>", "\\", "\\<|", "a\\", "[INST]", "[\\INST]", "</s><s>", "", "tail <", "<<|", "line\nbreak", "<|im_next|>", "é😀"]
     turns = [(1, i, "user" if i % 3 else "assistant", t, "x") for i, t in enumerate(odd)]
