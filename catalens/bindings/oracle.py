@@ -350,7 +350,12 @@ FILES = {
 kept AS (SELECT count(*) AS clean_rows FROM clean)
 SELECT 1 AS run, raw_rows, clean_rows, raw_rows - clean_rows AS dropped_rows,
        round(100.0 * clean_rows / raw_rows, 2) AS pct_kept, '' AS note, clean_rows AS table_rows FROM found, kept
-UNION ALL SELECT 2, 0, 0, 0, 0.0, 'clean skipped', clean_rows FROM kept""",
+UNION ALL SELECT 2, 0, 0, 0, 0.0, 'clean skipped', clean_rows FROM kept
+UNION ALL SELECT 3, raw_rows, clean_rows, raw_rows - clean_rows,
+       round(100.0 * clean_rows / raw_rows, 2), '', clean_rows FROM found, kept""",
+    "clean_merge": f"{_CLEAN} SELECT {_rows(CLEAN_COLUMNS)} FROM clean",
+    # One line of the files is malformed.
+    "cleaning_observed": f"SELECT *, CAST(1 AS BIGINT) AS malformed_rows FROM ({_SUMMARY})",
     "preview": _list(_rows(CLEAN_COLUMNS), "id", 10),
 }
 
@@ -752,5 +757,9 @@ SLICES = {
 }
 
 
+# The cube's panels are the slice panels.
+CUBE = {f"cube_{key.removeprefix('slice_')}": sql for key, sql in SLICES.items() if key != "slice_filter"}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**FILES, **CLEANING, **QUALITY, **SUMMARIES, **CATALOGUE, **EARLY, **SLICES}
+    return {**FILES, **CLEANING, **QUALITY, **SUMMARIES, **CATALOGUE, **EARLY, **SLICES, **CUBE}

@@ -14,10 +14,10 @@ from catalens.functions import rules
 from catalens.operators import cleaning, quality
 from catalens.operators.tags import explode_tags
 from catalens.params import CleanRules, QualityRules, ReportRules, Slice
-from catalens.plans import catalogue, early, slices, summaries
+from catalens.plans import catalogue, cube, early, slices, summaries
 from catalens.plans.batch import clean_or_reuse
-from catalens.schema import ANALYSIS_COLUMNS, CLEAN_COLUMNS, CLEAN_SCHEMA, RAW_COLUMNS
-from catalens.sources import files
+from catalens.schema import ANALYSIS_COLUMNS, CLEAN_COLUMNS, CLEAN_SCHEMA, RAW_COLUMNS, text_schema
+from catalens.sources import files, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -203,14 +203,17 @@ def _materialise_clean(spark, sf_dir):
 
 
 def _reuse_clean(spark, sf_dir):
-    """Two runs that may reuse a clean table: none is there, so it is built; then it is taken."""
-    path = files.shared_folder(spark)
-    raw = files.materialise(raw_catalog(spark, sf_dir), files.shared_folder(spark))
-    found = cleaning.diagnostics(raw, LIMITS)
+    """Three runs that may reuse a clean table: none is there, so it is built; it is taken;
+    the raw files are written anew, so it is built again."""
+    path, raw_path = files.shared_folder(spark), files.shared_folder(spark)
+    raw = files.materialise(raw_catalog(spark, sf_dir), raw_path)
     counts = ["raw_rows", "clean_rows", "dropped_rows", "pct_kept"]
     outcomes = []
-    for number in (1, 2):
-        cleaned, summary = clean_or_reuse(raw, found, path, LIMITS, reuse=True)
+    for number in (1, 2, 3):
+        if number == 3:
+            raw = files.materialise(raw_catalog(spark, sf_dir), raw_path)
+        digest = versions.input_digest(spark, raw_path, LIMITS)
+        cleaned, summary, _ = clean_or_reuse(spark, lambda: raw, path, digest, LIMITS, reuse=True)
         note = F.col("note") if "note" in summary.columns else F.lit("")
         outcomes.append(summary.select(
             F.lit(number).alias("run"), *counts, note.alias("note"), F.lit(cleaned.count()).cast("bigint").alias("table_rows")
@@ -218,6 +221,24 @@ def _reuse_clean(spark, sf_dir):
     return reduce(DataFrame.unionByName, outcomes)
 
 
+def _clean_merge(spark, sf_dir):
+    """The raw rows in two deliveries, copies of an id in either, merged one after the other."""
+    raw = raw_catalog(spark, sf_dir)
+    second = F.pmod(F.xxhash64("title", "vote_count"), F.lit(2)) == 1
+    table = versions.BucketTable(spark, files.shared_folder(spark), buckets=16)
+    table.merge(raw.where(~second), LIMITS)
+    table.merge(raw.where(second), LIMITS)
+    return table.read()
+
+
+def _cleaning_observed(spark, sf_dir):
+    """The summary from counts that were observed while the raw files were cleaned."""
+    raw = files.read_raw_csv(spark, _raw_file(spark, sf_dir), text_schema(), keep_malformed=True)
+    observed, path = cleaning.Observed(raw, LIMITS), files.shared_folder(spark)
+    counts = observed.counts() if observed.write(path) else observed.recount(path)
+    return cleaning.summary_of(spark, counts)
+
+
 def _stored_catalog(spark, sf_dir):
     """The analysed columns, written once for the many reports over them."""
     return files.materialise(catalog(spark, sf_dir, *ANALYSIS_COLUMNS), files.shared_folder(spark))
@@ -288,6 +309,8 @@ FILES: dict[str, Query] = {
     "export_clean_csv": _export_clean_csv,
     "materialise_clean": _materialise_clean,
     "reuse_clean": _reuse_clean,
+    "clean_merge": _clean_merge,
+    "cleaning_observed": _cleaning_observed,
     "preview": _on_catalog(files.preview, " ".join(CLEAN_COLUMNS)),
 }
 
@@ -545,10 +568,35 @@ SLICES: dict[str, Query] = {
 }
 
 
+_CUBE_COLUMNS = (
+    "id", "title", "release_year", "original_language", "genres", "vote_count", "vote_average", "runtime", "revenue", "budget",
+    "has_financials", "primary_genre", "profit",
+)
+
+
+def _on_cube(panel: Callable[[cube.Cube], DataFrame]) -> Query:
+    """A panel over the cells of the whole catalog, which are written first."""
+    return lambda spark, sf_dir: panel(cube.build(catalog(spark, sf_dir, *_CUBE_COLUMNS), files.shared_folder(spark)))
+
+
+CUBE: dict[str, Query] = {
+    "cube_bounds": _on_cube(lambda c: c.bounds()),
+    "cube_genre_domain": _on_cube(lambda c: c.genre_domain()),
+    "cube_language_domain": _on_cube(lambda c: c.language_domain(n=3)),
+    "cube_kpis": _on_cube(lambda c: c.kpis(SELECTION)),
+    "cube_per_year": _on_cube(lambda c: c.per_year(SELECTION)),
+    "cube_rating_histogram": _on_cube(lambda c: c.rating_histogram(SELECTION)),
+    "cube_top_genres": _on_cube(lambda c: c.top_genres(SELECTION, n=4)),
+    "cube_money_trend": _on_cube(lambda c: _rounded(lambda rows: rows, avg_revenue=4, avg_budget=4)(c.money_trend(SELECTION))),
+    "cube_top_rated": _on_cube(lambda c: c.top_rated(SELECTION)),
+    "cube_top_grossing": _on_cube(lambda c: c.top_grossing(SELECTION)),
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genre statistics over the fully cleaned table."""
     return summaries.genre_stats(cleaning.clean(raw_catalog(spark, sf_dir), LIMITS))
 
 
 def queries() -> dict[str, Query]:
-    return {**FILES, **CLEANING, **QUALITY, **SUMMARIES, **CATALOGUE, **EARLY, **SLICES}
+    return {**FILES, **CLEANING, **QUALITY, **SUMMARIES, **CATALOGUE, **EARLY, **SLICES, **CUBE}

@@ -7,12 +7,16 @@ an id is junk, a valid copy with fewer votes must survive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalens.functions import parse, rules
 from catalens.params import CleanRules
 from catalens.schema import CLEAN_COLUMNS
+from catalens.sources.files import write_clean
+from catalens.sources.split_csv import MALFORMED
 
 UNKNOWN = "Unknown"
 
@@ -108,20 +112,23 @@ def admissible(rows: DataFrame, limits: CleanRules) -> DataFrame:
 # --- one row per id -------------------------------------------------------
 
 
-def best_copy(rows: DataFrame) -> DataFrame:
+def best_copy(rows: DataFrame, *within: str) -> DataFrame:
     """Keep the copy with the most votes of each id.
 
+    `within` names columns that follow from the id; rows partitioned by these are not
+    shuffled again.
+
     The remaining columns break ties, so the survivor does not depend on the
     order of arrival. The filter on the row number lets Spark prune copies in
     every task before the shuffle, so an id with very many copies sends only
     one row per task.
     """
     first = ["title", "original_title", "release_date"]
-    rest = [c for c in rows.columns if c not in {"id", "vote_count", *first}]
+    rest = [c for c in rows.columns if c not in {"id", "vote_count", *first, *within}]
     order = [F.col("vote_count").desc_nulls_last()]
     order += [F.col(c).asc_nulls_last() for c in first + rest if c in rows.columns]
     return (
-        rows.withColumn("_copy", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+        rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*within, "id").orderBy(*order)))
         .filter(F.col("_copy") == 1)
         .drop("_copy")
     )
@@ -157,12 +164,13 @@ def with_financials(rows: DataFrame) -> DataFrame:
     })
 
 
-def enriched(rows: DataFrame) -> DataFrame:
+def enriched(rows: DataFrame, *more: str) -> DataFrame:
+    """The clean columns, and `more` of the given ones."""
     return (
         rows.transform(with_date_parts)
         .transform(with_labels)
         .transform(with_financials)
-        .select(*CLEAN_COLUMNS)
+        .select(*CLEAN_COLUMNS, *more)
     )
 
 
@@ -179,16 +187,88 @@ def clean(raw: DataFrame, limits: CleanRules = CleanRules()) -> DataFrame:
 # --- what cleaning removed ------------------------------------------------
 
 
+def _counts(limits: CleanRules, missing: Column, bad_date: Column, title: Column, revenue: Column, good: Column) -> list[Column]:
+    """Overlapping counts over the good raw rows."""
+    return [
+        F.count_if(good).alias("raw_rows"),
+        F.count_if(good & missing).alias("missing_title"),
+        F.count_if(good & bad_date).alias("bad_date"),
+        F.count_if(good & rules.matches_any(title, limits.junk_patterns)).alias("spam_title"),
+        F.count_if(good & (revenue > limits.max_revenue)).alias("over_cap_revenue"),
+    ]
+
+
 def diagnostics(raw: DataFrame, limits: CleanRules = CleanRules()) -> DataFrame:
     """One row of overlapping counts over the raw rows, in a single pass."""
     title = F.col("title")
-    return raw.agg(
-        F.count("*").alias("raw_rows"),
-        F.count_if(title.isNull() | (parse.trim_spaces(title) == "")).alias("missing_title"),
-        F.count_if(parse.parse_date(F.col("release_date")).isNull()).alias("bad_date"),
-        F.count_if(rules.matches_any(title, limits.junk_patterns)).alias("spam_title"),
-        F.count_if(parse.parse_double(F.col("revenue")) > limits.max_revenue).alias("over_cap_revenue"),
-    )
+    missing = title.isNull() | (parse.trim_spaces(title) == "")
+    bad_date = parse.parse_date(F.col("release_date")).isNull()
+    return raw.agg(*_counts(limits, missing, bad_date, title, parse.parse_double(F.col("revenue")), F.lit(True)))
+
+
+class Observed:
+    """Cleaning that counts on the way, so the raw rows are read and parsed once.
+
+    `cleaned` is the clean table as a plan. `summary_of` makes a summary row of the counts.
+    The raw frame may have the column `_malformed` of `read_raw_csv`.
+    """
+
+    def __init__(self, raw: DataFrame, limits: CleanRules = CleanRules()):
+        self._spark, self._raw, self._limits = raw.sparkSession, raw, limits
+        self._raw_counts, self._clean_count = Observation(), Observation()
+        self._tag = f"cleaning-{uuid.uuid4().hex}"
+        malformed = F.col(MALFORMED) if MALFORMED in raw.columns else F.lit(None).cast("string")
+        # As in `typed`; the title as written is needed for its patterns.
+        extra = [F.col("title").alias("_title"), malformed.isNull().alias("_good")]
+        rows = raw.select(F.inline(F.array(F.struct(*[parsed(c) for c in _TYPED], *extra))))
+        title = F.col("title")
+        counts = _counts(
+            limits, title.isNull() | (title == ""), F.col("release_date").isNull(), F.col("_title"), F.col("revenue"), F.col("_good")
+        )
+        rows = rows.observe(self._raw_counts, *counts, F.count_if(~F.col("_good")).alias("malformed_rows"))
+        rows = rows.where("_good").drop("_title", "_good")
+        whole = rows.transform(admissible, limits).transform(best_copy).transform(enriched)
+        self.cleaned = whole.observe(self._clean_count, F.count("*").alias("clean_rows"))
+
+    def write(self, path: str) -> bool:
+        """Write the clean table. False if a stage ran twice, for example after an executor
+        was lost: its rows are then counted twice, and the counts must be taken anew."""
+        context = self._spark.sparkContext
+        group = context.getLocalProperty("spark.jobGroup.id")
+        context.setJobGroup(self._tag, "cleaning")
+        try:
+            write_clean(self.cleaned, path)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", group)
+        return ran_once(self._spark, self._tag)
+
+    def counts(self) -> dict[str, int]:
+        """After `write`."""
+        return {**self._raw_counts.get, **self._clean_count.get}
+
+    def recount(self, path: str) -> dict[str, int]:
+        """The same counts by a second pass over the raw rows and the table at `path`."""
+        good = F.col(MALFORMED).isNull() if MALFORMED in self._raw.columns else F.lit(True)
+        counts = diagnostics(self._raw.where(good), self._limits).first().asDict()
+        counts["malformed_rows"] = self._raw.where(~good).count()
+        counts["clean_rows"] = self._spark.read.parquet(path).count()
+        return counts
+
+
+def ran_once(spark: SparkSession, group: str) -> bool:
+    """Whether every stage of a job group ran in one attempt."""
+    tracker = spark.sparkContext.statusTracker()
+    jobs = filter(None, map(tracker.getJobInfo, tracker.getJobIdsForGroup(group)))
+    stages = filter(None, (tracker.getStageInfo(s) for job in jobs for s in job.stageIds))
+    return all(stage.currentAttemptId == 0 for stage in stages)
+
+
+def summary_of(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """The row of `cleaning_summary` from counts that are known, with the malformed rows."""
+    found = [F.lit(counts[c]).cast("bigint").alias(c) for c in ("raw_rows", "missing_title", "bad_date", "spam_title", "over_cap_revenue")]
+    cleaned = spark.range(1).select(F.lit(counts["clean_rows"]).cast("bigint").alias("clean_rows"))
+    row = _summary(spark.range(1).select(*found).join(cleaned))
+    return row.withColumn("malformed_rows", F.lit(counts["malformed_rows"]).cast("bigint"))
 
 
 def cleaning_summary(found: DataFrame, cleaned: DataFrame) -> DataFrame:
@@ -196,9 +276,13 @@ def cleaning_summary(found: DataFrame, cleaned: DataFrame) -> DataFrame:
 
     `found` is the row of `diagnostics`, `cleaned` the clean table.
     """
+    return _summary(found.withColumn("clean_rows", cleaned.agg(F.count("*")).scalar()))
+
+
+def _summary(found: DataFrame) -> DataFrame:
     raw_rows, clean_rows = F.col("raw_rows"), F.col("clean_rows")
     kept = F.round(F.lit(100.0) * clean_rows / raw_rows, 2)
-    return found.withColumn("clean_rows", cleaned.agg(F.count("*")).scalar()).select(
+    return found.select(
         raw_rows,
         clean_rows,
         (raw_rows - clean_rows).alias("dropped_rows"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.params import QualityRules
@@ -147,6 +147,11 @@ def check_raw(
     return run_checks(rows, "raw", checks)
 
 
+def run_raw_header(spark: SparkSession, columns: Iterable[str], limits: QualityRules = QualityRules()) -> DataFrame:
+    """The part of the raw gate that needs no rows."""
+    return run_checks(spark.range(0), "raw", [_required_columns(columns, limits)])
+
+
 def check_raw_counted(
     columns: Iterable[str], found: DataFrame, limits: QualityRules = QualityRules()
 ) -> DataFrame:

@@ -45,19 +45,20 @@ def _on_one_machine(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of the path, and the path as it wants it."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    system, there = _file_system(spark, path)
+    system, there = file_system(spark, path)
     return system.exists(there)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that `shared_folder` gave, once nothing reads it any more."""
-    system, there = _file_system(spark, path)
+    system, there = file_system(spark, path)
     system.delete(there, True)
 
 
