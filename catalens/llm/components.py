@@ -20,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
 
     In each round every node joins its first neighbour, links are rewritten to the nodes
     that were joined, and loops and repeats go; so the links shrink until none is left.
-    Loops and repeated links do no harm. Each round is written out.
+    Loops and repeated links do no harm. A link with a null end links nothing. No links give
+    an empty table. Each round is written out.
     """
     edges, joined, number = links.select("a", "b").where("a <> b"), [], 0
     while True:

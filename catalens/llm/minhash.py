@@ -301,8 +301,10 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.
 def full_sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """node, cluster, members, pop, elements: the sets of the wanted nodes, from the texts anew."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text"))
-    found = rows.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("cluster", "node", "members", "pop", "digest", "text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("text"))
+    # By id and text: many rows may have one id, or none.
+    same = F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_hash") == F.col("rep_text"))
+    found = rows.join(wanted, same).select("cluster", "node", "members", "pop", "digest", "text")
     schema = T.StructType([
         T.StructField("cluster", T.LongType()), T.StructField("node", T.LongType()), T.StructField("members", T.LongType()),
         T.StructField("pop", T.LongType()), T.StructField("elements", T.BinaryType()),
@@ -388,14 +390,16 @@ def confirm_rest(sets: DataFrame, confirmed: DataFrame, percent: int) -> DataFra
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, digest, component_id, kept per row of `documents`."""
     signed = signatures(documents, shingle)
+    first = F.min(F.struct(F.isnull("doc_id").alias("absent"), "doc_id", "text_hash"))  # an id before none
     nodes = signed.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
+        first.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
     )
+    nodes = nodes.withColumns({"rep": F.col("first.doc_id"), "rep_text": F.col("first.text_hash")}).drop("first")
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
     links, pop = candidates(nodes, percent)
     clusters = components(links).withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    wanted = clusters.join(sizes, "cluster").join(pop, "node").join(nodes.select("node", "rep", "digest"), "node")
+    wanted = clusters.join(sizes, "cluster").join(pop, "node").join(nodes.select("node", "rep", "rep_text", "digest"), "node")
     sets = full_sets(documents, wanted, shingle).groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("cluster", "members", "pop", "elements")]
     )

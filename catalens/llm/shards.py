@@ -8,7 +8,11 @@ edits the last one: it moves as few slots as the new sizes or shard count ask fo
 A row's size is the UTF-8 bytes of its text (null: none) plus 1. Rows equal in id and
 text share a slot, others spread however often their id or text repeats; a null id is
 a value like any other. Ties go by slot number. An empty table gives slots of 0 bytes.
-Extra columns stay out of the way: only the id and text columns are read.
+`shard_documents` reads only the id and text columns. `assign_shards` keeps all columns;
+those that are called like the two it adds come out with `input_` before their name.
+
+With a folder of maps, a placement reads the newest version there, edits it for the sizes
+it finds, and stores and reads back the next version, so a later run moves few rows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalens.llm.store import materialise
+from catalens.llm.store import materialise, scratch
+from catalens.sources.files import exists
 
 SLOTS = 4096
 SHARDS = 16
@@ -65,13 +70,15 @@ def first_map(sizes: list[int], shards: int = SHARDS) -> SlotMap:
 
 
 def rebalance(old: SlotMap, sizes: list[int], shards: int | None = None, tolerance: float = 0.01) -> SlotMap:
-    """The next version: slots move, one at a time, from the fullest to the emptiest shard
-    while that narrows the gap and a shard is off the mean by more than `tolerance`.
+    """The next version: slots move, one at a time, from the fullest shard that has one that
+    narrows the gap to the emptiest, while a shard is off the mean by more than `tolerance`.
 
     Shards beyond the new count lose all their slots first. The map of equal sizes and
     shard count comes back unchanged but for its version.
     """
     shards = shards or old.shards
+    if len(sizes) != len(old.owner):
+        raise ValueError(f"the map has {len(old.owner)} slots, not {len(sizes)}")
     owner, load = list(old.owner), [0] * max(shards, old.shards)
     held: list[list[int]] = [[] for _ in load]
     for slot, shard in enumerate(owner):
@@ -90,21 +97,43 @@ def rebalance(old: SlotMap, sizes: list[int], shards: int | None = None, toleran
             move(slot, min(range(shards), key=lambda x: (load[x], x)))
     mean = sum(sizes) / shards
     for _ in range(len(sizes) * 2):
+        by_load = sorted(range(shards), key=lambda x: (-load[x], x))
         low = min(range(shards), key=lambda x: (load[x], x))
-        high = max(range(shards), key=lambda x: (load[x], -x))
-        if max(load[high] - mean, mean - load[low]) <= tolerance * mean:
+        if max(load[by_load[0]] - mean, mean - load[low]) <= tolerance * mean:
             break
-        gap = load[high] - load[low]
-        fits = [s for s in held[high] if 0 < sizes[s] < gap]
-        if not fits:
+        # The fullest shard may hold one large slot that cannot help.
+        for high in by_load:
+            gap = load[high] - load[low]
+            fits = [s for s in held[high] if 0 < sizes[s] < gap]
+            if fits:
+                move(min(fits, key=lambda s: (abs(gap - 2 * sizes[s]), s)), low)
+                break
+        else:
             break
-        move(min(fits, key=lambda s: (abs(gap - 2 * sizes[s]), s)), low)
     return SlotMap(old.version + 1, shards, tuple(owner))
 
 
+def next_map(spark: SparkSession, folder: str, sizes: list[int], shards: int) -> SlotMap:
+    """The stored map for these sizes: the first version, or the newest one rebalanced."""
+    newest = newest_version(spark, folder)
+    if newest:
+        made = rebalance(read_map(spark, folder, newest), sizes, shards)
+    else:
+        made = first_map(sizes, shards)
+    write_map(spark, made, folder)
+    return read_map(spark, folder, made.version)
+
+
+def newest_version(spark: SparkSession, folder: str) -> int:
+    """0 where no map is stored."""
+    if not exists(spark, folder):
+        return 0
+    return spark.read.schema("version int").parquet(folder).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+
 def write_map(spark: SparkSession, slot_map: SlotMap, folder: str) -> None:
     """One folder per version; a version is never overwritten."""
-    slot_map.frame(spark).coalesce(1).write.parquet(f"{folder}/version={slot_map.version}")
+    slot_map.frame(spark).drop("version").coalesce(1).write.parquet(f"{folder}/version={slot_map.version}")
 
 
 def read_map(spark: SparkSession, folder: str, version: int) -> SlotMap:
@@ -131,19 +160,41 @@ def place(slotted_rows: DataFrame, slot_map: SlotMap, counts: list[int]) -> Data
     )
 
 
-def shard_documents(documents: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, shard, slot of every row of `documents`."""
+def shard_documents(documents: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot, shard, slot of every row of `documents`.
+
+    `maps` is the folder of the versioned maps, by default a new one.
+    """
     rows = materialise(slotted(documents, slots=slots))
     sizes = slot_sizes(rows, slots)
-    return place(rows, first_map([size for size, _ in sizes], shards), [count for _, count in sizes])
+    slot_map = next_map(rows.sparkSession, maps or scratch(rows.sparkSession), [size for size, _ in sizes], shards)
+    return place(rows, slot_map, [count for _, count in sizes])
 
 
-def assign_shards(documents: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
-    """All rows and columns of `documents` with `shard` and `virtual_slot`, and the map."""
+def assign_shards(
+    documents: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None
+) -> tuple[DataFrame, SlotMap]:
+    """All rows and columns of `documents` with `shard` and `virtual_slot`, and the stored map."""
+    spark = documents.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = (F.octet_length(text) + F.lit(1)).cast("long")
     key = F.xxhash64("doc_id", size, F.crc32(F.encode(text, "UTF-8")))
-    rows = documents.withColumn("virtual_slot", F.pmod(key, F.lit(slots)).cast("int"))
-    slot_map = first_map([size for size, _ in slot_sizes(slotted(documents, slots=slots), slots)], shards)
-    table = F.broadcast(slot_map.frame(documents.sparkSession).select("virtual_slot", "shard"))  # one row per slot
+    rows = documents.withColumnsRenamed(_apart(documents.columns, ("shard", "virtual_slot")))
+    rows = rows.withColumn("virtual_slot", F.pmod(key, F.lit(slots)).cast("int"))
+    sizes = [size for size, _ in slot_sizes(slotted(documents, slots=slots), slots)]
+    slot_map = next_map(spark, maps or scratch(spark), sizes, shards)
+    table = F.broadcast(slot_map.frame(spark).select("virtual_slot", "shard"))  # one row per slot
     return rows.join(table, "virtual_slot"), slot_map
+
+
+def _apart(columns: list[str], reserved: tuple[str, ...]) -> dict[str, str]:
+    """New names for columns that clash with reserved ones, whatever their case."""
+    taken, names = {c.lower() for c in columns} | set(reserved), {}
+    for column in columns:
+        if column.lower() in reserved:
+            name = f"input_{column}"
+            while name.lower() in taken:
+                name = f"input_{name}"
+            taken.add(name.lower())
+            names[column] = name
+    return names

@@ -149,8 +149,28 @@ def test_shards(spark, docs, none):
         (d, s, n) for (d, s), n in Counter((r[0], len((r[1] or "").encode()) + 1) for r in ROWS).items()
     )
     assert shards.shard_documents(none).count() == 0
-    kept, _ = shards.assign_shards(docs.drop("shard", "slot"), shards=3)
-    assert got(kept.select("doc_id", "text", "source")) == Counter((r[0], r[1], r[3]) for r in ROWS)
+    clash = docs.withColumns({"input_shard": F.lit("i"), "Virtual_Slot": F.lit("v")})
+    kept, slot_map = shards.assign_shards(clash, shards=3)
+    assert set(kept.columns) == {*docs.columns, "virtual_slot", "input_shard", "input_input_shard", "input_Virtual_Slot"}
+    assert got(kept.select("doc_id", "text", "source", "input_input_shard", "input_shard", "input_Virtual_Slot")) == Counter(
+        (r[0], r[1], r[3], r[6], "i", "v") for r in ROWS
+    )
+    assert {r["shard"] for r in kept.select("shard").collect()} <= set(slot_map.owner)
+
+
+def test_shard_maps_are_stored_and_edited(spark, docs):
+    folder = shards.scratch(spark)
+    first = {r["virtual_slot"]: r["shard"] for r in shards.shard_documents(docs, shards=3, slots=64, maps=folder).collect()}
+    again = {r["virtual_slot"]: r["shard"] for r in shards.shard_documents(docs, shards=3, slots=64, maps=folder).collect()}
+    assert again == first and shards.newest_version(spark, folder) == 2
+    more = docs.unionByName(spark.createDataFrame([row(100 + i, f"text {i} " * 50) for i in range(60)], SCHEMA))
+    _, grown = shards.assign_shards(more, shards=4, slots=64, maps=folder)
+    second = shards.read_map(spark, folder, 2)
+    assert grown.version == 3 and shards.read_map(spark, folder, 3) == grown
+    moved = sum(a != b for a, b in zip(second.owner, grown.owner))
+    assert 0 < moved < 48 and set(grown.owner) == {0, 1, 2, 3}
+    with pytest.raises(ValueError, match="slots"):
+        shards.shard_documents(docs, shards=3, slots=32, maps=folder)
 
 
 def test_near_duplicates(spark, docs, none):
@@ -164,6 +184,19 @@ def test_near_duplicates(spark, docs, none):
     assert minhash.near_duplicates(none).count() == minhash.one_of_each(none).count() == 0
 
 
+def test_near_duplicates_without_ids_or_with_one(spark):
+    """Pairs of near copies that all have no id, or all the same one."""
+    texts = [" ".join(f"w{pair}x{i if side or i else 'y'}" for i in range(40)) for pair in range(60) for side in (0, 1)] * 2
+    for doc_id in (None, 7):
+        rows = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string").repartition(4)
+        kept = minhash.one_of_each(rows, shingle=5)
+        assert kept.count() == (120 if doc_id is None else 120)
+        found = minhash.near_duplicates(rows, shingle=5)
+        assert got(found.select("component_id", "kept")) == Counter({(doc_id, True): 240})
+    marked = spark.createDataFrame([(pair * 2 + side if side == 0 else None, texts[pair * 2 + side]) for pair in range(60) for side in (0, 1)], "doc_id long, text string")
+    assert got(minhash.one_of_each(marked, shingle=5).select("doc_id")) == Counter({(pair * 2,): 1 for pair in range(60)})
+
+
 def test_tokens(spark, docs, none):
     vocabulary = read_vocabulary("byte_bpe_50k.json")
     folder = tokenfile.write_tokens(docs, vocabulary, end_id=2, file_ids=1000)
