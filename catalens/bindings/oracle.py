@@ -761,5 +761,18 @@ SLICES = {
 CUBE = {f"cube_{key.removeprefix('slice_')}": sql for key, sql in SLICES.items() if key != "slice_filter"}
 
 
+# Other ways to the same rows.
+INDEXES = {
+    "run_eda_shared": SUMMARIES["run_eda"],
+    "search_title": CATALOGUE["q07_title_search"],
+    "search_overview": CATALOGUE["q07_overview_search"],
+    "search_keywords": CATALOGUE["q07_keyword_search"],
+    "sink_clustered": FILES["sink_parquet"],
+    "heavy_languages": CATALOGUE["q04_top_languages"],
+    "heavy_countries": CATALOGUE["q04_top_countries"],
+    "exact_median_revenue": f"{_CATALOG} SELECT median(revenue) AS median FROM catalog",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**FILES, **CLEANING, **QUALITY, **SUMMARIES, **CATALOGUE, **EARLY, **SLICES, **CUBE}
+    return {**FILES, **CLEANING, **QUALITY, **SUMMARIES, **CATALOGUE, **EARLY, **SLICES, **CUBE, **INDEXES}

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from catalens.bindings.tables import catalog, raw_catalog
 from catalens.functions import rules
-from catalens.operators import cleaning, quality
+from catalens.operators import cleaning, heavy, median, quality, trigrams
 from catalens.operators.tags import explode_tags
 from catalens.params import CleanRules, QualityRules, ReportRules, Slice
 from catalens.plans import catalogue, cube, early, slices, summaries
 from catalens.plans.batch import clean_or_reuse
 from catalens.schema import ANALYSIS_COLUMNS, CLEAN_COLUMNS, CLEAN_SCHEMA, RAW_COLUMNS, text_schema
-from catalens.sources import files, versions
+from catalens.sources import clustered, files, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -593,10 +593,46 @@ CUBE: dict[str, Query] = {
 }
 
 
+def _searched(report: Callable[..., DataFrame], column: str, phrase: str) -> Query:
+    """A search report over the candidates of a trigram index of the whole catalog."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = catalog(spark, sf_dir, "id", "title", "vote_average", "vote_count", "release_year", "overview", "keywords")
+        index = trigrams.build(rows, ("title", "overview", "keywords"), files.shared_folder(spark))
+        return report(index.candidates(column, phrase), phrase=phrase)
+
+    return run
+
+
+def _sink_clustered(spark, sf_dir):
+    path = files.shared_folder(spark)
+    clustered.write_clustered(cleaning.clean(raw_catalog(spark, sf_dir), LIMITS), path)
+    return files.read_clean(spark, path, columns=None)
+
+
+def _run_eda_shared(spark, sf_dir):
+    return _common(summaries.run_eda_shared(_stored_catalog(spark, sf_dir), files.shared_folder(spark)))
+
+
+INDEXES: dict[str, Query] = {
+    "run_eda_shared": _run_eda_shared,
+    "search_title": _searched(catalogue.title_search, "title", TITLE_PHRASE),
+    "search_overview": _searched(catalogue.overview_search, "overview", OVERVIEW_PHRASE),
+    "search_keywords": _searched(catalogue.keyword_search, "keywords", KEYWORD_PHRASE),
+    "sink_clustered": _sink_clustered,
+    "heavy_languages": _on_catalog(lambda rows: heavy.top_counts(rows, "original_language", 3), "original_language"),
+    "heavy_countries": _on_catalog(
+        lambda rows: heavy.top_counts(rows.filter(F.col("production_countries") != cleaning.UNKNOWN), "production_countries", 15),
+        "production_countries",
+    ),
+    "exact_median_revenue": _on_catalog(lambda rows: median.exact_median(rows, "revenue", small=1000), "revenue"),
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genre statistics over the fully cleaned table."""
     return summaries.genre_stats(cleaning.clean(raw_catalog(spark, sf_dir), LIMITS))
 
 
 def queries() -> dict[str, Query]:
-    return {**FILES, **CLEANING, **QUALITY, **SUMMARIES, **CATALOGUE, **EARLY, **SLICES, **CUBE}
+    return {**FILES, **CLEANING, **QUALITY, **SUMMARIES, **CATALOGUE, **EARLY, **SLICES, **CUBE, **INDEXES}

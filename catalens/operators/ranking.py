@@ -103,16 +103,17 @@ def percent_rank_head(rows: DataFrame, by: str, n: int, name: str, tiebreak: str
     percent_rank = (rows with a smaller value) / (all rows - 1). Values above
     the smallest listed one are all in the list; of the smallest, all equal rows
     must be counted in the full data, together with the total, in one aggregate.
-    `by` must not be NULL.
+    The list, n rows, is fetched first, so `rows` is computed twice and not three
+    times. `by` must not be NULL.
     """
-    head = top_n(rows, descending(by, tiebreak), n)
-    lowest = head.agg(F.min(by)).scalar()
-    totals = rows.agg(
-        F.count("*").alias("total"), F.count_if(F.col(by) >= lowest).alias("from_lowest")
-    ).select(F.struct("total", "from_lowest"))
+    spark = rows.sparkSession
+    listed = top_n(rows, descending(by, tiebreak), n).collect()
+    head = spark.createDataFrame(listed, rows.schema)
+    if not listed:
+        return head.withColumn(name, F.lit(None).cast("double"))
+    lowest = F.lit(listed[-1][by])
+    total, from_lowest = rows.agg(F.count("*"), F.count_if(F.col(by) >= lowest)).first()
     at_least = F.count("*").over(Window.orderBy(F.col(by).desc()))
-    is_lowest = F.col(by) == F.min(by).over(Window.partitionBy())
-    totals_of = F.col("_totals")
-    smaller = totals_of["total"] - F.when(is_lowest, totals_of["from_lowest"]).otherwise(at_least)
-    share = F.when(totals_of["total"] > 1, smaller / (totals_of["total"] - 1)).otherwise(0.0)
-    return head.withColumn("_totals", totals.scalar()).withColumn(name, share).drop("_totals")
+    smaller = F.lit(total) - F.when(F.col(by) == lowest, F.lit(from_lowest)).otherwise(at_least)
+    share = smaller / (total - 1) if total > 1 else F.lit(0.0)
+    return head.withColumn(name, share)

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions import buckets, rules
+from catalens.functions.parse import trim_white_space
 from catalens.operators.median import aggregate_with_median
 from catalens.operators.tags import explode_tags
-from catalens.operators.topk import descending, top_n
+from catalens.operators.topk import descending, top_n, top_n_per_group
 from catalens.params import ReportRules
+from catalens.sources.files import materialise
 
 DEFAULT = ReportRules()
 
@@ -139,6 +141,80 @@ def run_eda(rows: DataFrame, limits: ReportRules = DEFAULT) -> dict[str, DataFra
     }
 
 
+# The lists of `run_eda`: what orders them, and their columns.
+_HEADS = {
+    "top_rated": ("vote_average", ("title", "vote_average", "vote_count", "release_year")),
+    "top_revenue": ("revenue", ("title", "revenue", "budget", "profit", "release_year")),
+    "top_roi": ("roi", ("title", "budget", "revenue", "roi", "release_year")),
+}
+
+
+def run_eda_shared(rows: DataFrame, folder: str, limits: ReportRules = DEFAULT) -> dict[str, DataFrame]:
+    """The tables of `run_eda` from two passes over the rows, which are written under `folder`.
+
+    Every row is taken apart into one entry per table and group that it counts for, and one
+    aggregate over (table, group) makes all five grouped tables. The three lists share the
+    other pass, in which every task keeps its first rows of each list.
+    """
+    reliable = F.col("vote_count") >= limits.reliable_votes
+    none = F.lit(None).cast("double")
+
+    def entry(table: str, label: Column, rating: Column = none, revenue: Column = none, budget: Column = none) -> Column:
+        fields = {"label": label.cast("string"), "rating": rating, "revenue": revenue, "budget": budget}
+        return F.struct(F.lit(table).alias("table_name"), *[value.alias(name) for name, value in fields.items()])
+
+    tags = F.transform(F.split(F.coalesce("genres", F.lit("")), ",", -1), trim_white_space)
+    reliable_rating = F.when(reliable, F.col("vote_average"))
+    per_tag = F.transform(F.filter(tags, lambda t: t != ""), lambda t: entry("genre_stats", t, reliable_rating))
+    position = F.when(reliable & (F.col("runtime") > 0), buckets.runtime_bucket_position(F.col("runtime")))
+    per_row = F.array(
+        entry("yearly_trend", F.col("release_year"), none, _if_credible("revenue", limits), _if_credible("budget", limits)),
+        entry("runtime_buckets", position, F.col("vote_average")),
+        entry("language_stats", F.col("original_language"), F.col("vote_average")),
+        entry("monthly_releases", F.col("release_month")),
+    )
+    entries = rows.select(F.inline(F.concat(per_tag, F.filter(per_row, lambda e: e["label"].isNotNull()))))
+    groups = entries.groupBy("table_name", "label").agg(
+        F.count("*").alias("movie_count"), F.round(F.avg("rating"), 2).alias("avg_rating"),
+        F.avg("revenue").alias("avg_revenue"), F.avg("budget").alias("avg_budget"),
+    )
+    groups = materialise(groups, f"{folder}/groups")
+
+    credible = F.coalesce(rules.credible(limits.financial_votes), F.lit(False))
+    listed = {
+        "top_rated": F.col("vote_count") >= limits.top_rated_votes, "top_revenue": credible, "top_roi": credible & (F.col("budget") >= limits.real_budget),
+    }
+    columns = dict.fromkeys(["id", *[c for _, own in _HEADS.values() for c in own]])
+    heads = [
+        F.when(listed[name], F.struct(F.lit(name).alias("table_name"), F.col(by).alias("value"), *[F.col(c) for c in columns]))
+        for name, (by, _) in _HEADS.items()
+    ]
+    heads = rows.select(F.inline(F.filter(F.array(*heads), lambda h: h.isNotNull())))
+    first = top_n_per_group(heads, "table_name", descending("value"), limits.top_n)
+    first = materialise(first, f"{folder}/heads")
+
+    def table(name: str, label: str, kind: str = "string") -> DataFrame:
+        return groups.filter(F.col("table_name") == name).withColumn(label, F.col("label").cast(kind))
+
+    lists = {
+        name: top_n(first.filter(F.col("table_name") == name), descending("value"), limits.top_n).select(*own)
+        for name, (_, own) in _HEADS.items()
+    }
+    rated = ("movie_count", "avg_rating")
+    runtimes = table("runtime_buckets", "position", "int").orderBy("position")
+    return {
+        **lists,
+        "genre_stats": table("genre_stats", "genre").select("genre", *rated).orderBy(F.desc("movie_count"), "genre"),
+        "yearly_trend": table("yearly_trend", "release_year", "int").select("release_year", "movie_count", "avg_revenue", "avg_budget").orderBy("release_year"),
+        "runtime_buckets": runtimes.select(buckets.runtime_bucket_label(F.col("position")).alias("bucket"), *rated),
+        "language_stats": top_n(
+            table("language_stats", "original_language").select("original_language", *rated),
+            descending("movie_count", "original_language"), max(limits.top_n, limits.min_language_rows),
+        ),
+        "monthly_releases": table("monthly_releases", "release_month", "int").select("release_month", "movie_count").orderBy("release_month"),
+    }
+
+
 # --- chart feeds: the numbers behind each chart of the report --------------
 
 

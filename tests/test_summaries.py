@@ -181,3 +181,18 @@ def test_searches_ignore_case(clean_frame):
     assert rows(early.shortest_titles(frame.withColumn("title", F.nullif("title", F.lit("war")))).select("title")) == [
         ("Peace",), ("Star WARS",),
     ]
+
+
+def test_shared_tables_equal_the_single_ones(spark, four, clean_frame, tmp_path):
+    odd = clean_frame(
+        dict(id=5, genres=" ,Drama,,Drama\t", vote_count=None, runtime=0.0, release_year=None, original_language=None),
+        dict(id=6, title="tie", vote_average=7.5, vote_count=2000, has_financials=True, revenue=1e6, budget=5e5, roi=2.0, release_month=5),
+        dict(id=7, genres="", vote_count=60, vote_average=None, runtime=60.5, original_language="en", release_year=2000),
+    )
+    for number, rows in enumerate((four, four.unionByName(odd), four.limit(0))):
+        shared = summaries.run_eda_shared(rows, f"{tmp_path}/{number}")
+        single = summaries.run_eda(rows)
+        assert shared.keys() == single.keys()
+        for name in single:
+            assert shared[name].dtypes == single[name].dtypes
+            assert shared[name].collect() == single[name].collect(), name
