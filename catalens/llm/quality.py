@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,8 @@ STATISTICS = (
     "short_words", "long_words", "distinct_words", "distinct_pairs", "words_per_line",
 )
 FOLDS = 4
+#: Matrices of so many groups of tasks are added side by side.
+LANES = 256
 BINS = 2048
 
 
@@ -147,7 +150,8 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, width: float =
     scale = np.where(rounded[1::2] > 1e-9, rounded[1::2], 1.0)
     start = Model(rounded[::2], scale, directions, phases, blank.weights, blank.points, blank.values)
 
-    part = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("sums", T.BinaryType())])
+    part = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("lane", T.IntegerType()), T.StructField("sums", T.BinaryType())])
+    arrow = pa.schema([("fold", pa.int32()), ("lane", pa.int32()), ("sums", pa.binary())])
     size = features + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,19 +161,20 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, width: float =
             for k in range(FOLDS):
                 own = z[fold == k]
                 held[k] += own.T @ np.concatenate([own, y[fold == k, None]], axis=1)
-        yield pa.RecordBatch.from_pylist([{"fold": k, "sums": held[k].tobytes()} for k in range(FOLDS)], pa.schema([("fold", pa.int32()), ("sums", pa.binary())]))
+        lane = TaskContext.get().partitionId() % LANES
+        yield pa.RecordBatch.from_pylist([{"fold": k, "lane": lane, "sums": held[k].tobytes()} for k in range(FOLDS)], arrow)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(2)):
                 held[k] = held.get(k, 0) + np.frombuffer(data.as_buffer(), np.float64)
-        if held:
-            yield pa.RecordBatch.from_pylist([{"fold": k, "sums": v.tobytes()} for k, v in held.items()], pa.schema([("fold", pa.int32()), ("sums", pa.binary())]))
+        yield pa.RecordBatch.from_pylist([{"fold": k, "lane": 0, "sums": v.tobytes()} for k, v in held.items()], arrow)
 
-    summed = rows.select("fold", "label", "stats").mapInArrow(sums, part).repartition(FOLDS, "fold").mapInArrow(add, part)
+    # A tree: the matrices of many tasks are added in lanes, then those of the lanes.
+    lanes = rows.select("fold", "label", "stats").mapInArrow(sums, part).repartition("fold", "lane").mapInArrow(add, part)
     normal = np.zeros((FOLDS, size, size + 1))
-    for k, data in summed.collect():  # a matrix of fixed size per fold
+    for k, _, data in lanes.repartition(FOLDS, "fold").mapInArrow(add, part).collect():  # a matrix of fixed size per fold
         normal[k] += np.frombuffer(data, np.float64).reshape(size, size + 1)
 
     def solve(m: np.ndarray) -> np.ndarray:

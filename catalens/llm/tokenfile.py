@@ -14,14 +14,17 @@ without reading what comes before it:
   length of the parts after the blocks: uint64
 
 All numbers are little-endian. Documents go to ranges of ascending doc_id (nulls
-first, ties by text), so file after file the ids follow the documents' order; the
-manifest lists the files with their counts. Null and empty texts give only the end id.
+first, ties by a hash of the text, then the text), so file after file the ids follow the
+documents' order, and rows of one id spread over ranges; the manifest lists the files with
+their counts. A file closes by ids or by documents, so that the offsets a task holds, 17
+bytes a document, are bounded. Null and empty texts give only the end id.
 An empty table gives no files. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,8 @@ from catalens.llm.vocab import encoder
 
 MAGIC = b"TOKBITS1"
 BLOCK = 1 << 16
-#: A file closes after the document that brings it to so many ids.
-FILE_IDS = 1 << 27
+#: A file closes after the document that brings it to so many ids or documents.
+FILE_IDS, FILE_DOCS = 1 << 27, 1 << 20
 
 
 def width_of(vocabulary_size: int) -> int:
@@ -82,12 +85,12 @@ class Writer:
         self.at = len(MAGIC)
         self.rest: list[np.ndarray] = []
         self.waiting = self.ids = 0
-        self.offsets: list[int] = []
-        self.docs: list[int | None] = []
-        self.firsts: list[int] = []
+        self.offsets, self.docs, self.firsts = array("q"), array("q"), array("q")
+        self.nulls = bytearray()
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+        self.docs.append(0 if doc_id is None else doc_id)
+        self.nulls.append(doc_id is None)
         self.firsts.append(self.ids)
         self.ids += len(ids)
         self.rest.append(ids)
@@ -108,17 +111,16 @@ class Writer:
     def close(self) -> int:
         if self.waiting:
             self._block(np.concatenate(self.rest))
-        tail = [
-            np.array([self.width, BLOCK, len(self.offsets), len(self.docs), self.ids], "<u8"),
-            np.array(self.offsets, "<u8"),
-            np.array([0 if d is None else d for d in self.docs], "<i8"),
-            np.array([d is None for d in self.docs], np.uint8),
-            np.array([*self.firsts, self.ids], "<u8"),
-        ]
-        data = b"".join(x.tobytes() for x in tail)
-        self.out.write(data + np.array([len(data)], "<u8").tobytes())
+        self.firsts.append(self.ids)
+        length = 0
+        counts = np.array([self.width, BLOCK, len(self.offsets), len(self.docs), self.ids])
+        for part in (counts, self.offsets, self.docs, self.nulls, self.firsts):
+            data = bytes(part) if part is self.nulls else np.asarray(part).astype("<i8").tobytes()
+            self.out.write(data)
+            length += len(data)
+        self.out.write(np.array([length], "<u8").tobytes())
         self.out.close()
-        return self.at + len(data) + 8
+        return self.at + length + 8
 
 
 class Reader:
@@ -134,9 +136,8 @@ class Reader:
         self.width, self.block, blocks, docs, self.ids = (int(x) for x in np.frombuffer(tail, "<u8", 5))
         self.offsets = np.frombuffer(tail, "<u8", blocks, at).astype(np.int64)
         at += 8 * blocks
-        numbers = np.frombuffer(tail, "<i8", docs, at)
         nulls = np.frombuffer(tail, np.uint8, docs, at + 8 * docs)
-        self.docs = [None if n else int(d) for d, n in zip(numbers, nulls)]
+        self.docs = pa.array(np.frombuffer(tail, "<i8", docs, at), pa.int64(), mask=nulls.astype(bool))
         self.firsts = np.frombuffer(tail, "<u8", docs + 1, at + 9 * docs).astype(np.int64)
         self._held: tuple[int, np.ndarray] = (-1, np.empty(0, np.uint32))
 
@@ -161,15 +162,15 @@ class Reader:
         return self.read(int(self.firsts[index]), int(self.firsts[index + 1]))
 
 
-def write_tokens(documents: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, file_ids: int = FILE_IDS) -> str:
+def write_tokens(
+    documents: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS
+) -> str:
     """Encode every text, append the end id, write the files; returns their folder."""
     spark = documents.sparkSession
     folder = folder or scratch(spark)
-    ordered = (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
@@ -193,7 +194,7 @@ def write_tokens(documents: DataFrame, vocabulary: str, end_id: int, folder: str
                         name = temporary_name()
                         out = Writer(store, f"{base}/{name}", width)
                     out.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
-                    if out.ids >= file_ids:
+                    if out.ids >= file_ids or len(out.docs) >= file_docs:
                         yield entry()
                         seq, out = seq + 1, None
         if out is not None:
@@ -228,7 +229,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     crcs = [zlib.crc32(file.document(i).astype("<u4").tobytes()) for i in range(at, stop)]
                     starts = file.firsts[at : stop + 1]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(file.docs[at:stop], pa.int64()), pa.array(starts[:-1] + first), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())],
+                        [file.docs.slice(at, stop - at), pa.array(starts[:-1] + first), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())],
                         names=READ.names,
                     )
 

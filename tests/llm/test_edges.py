@@ -112,7 +112,7 @@ def test_decontamination(spark, docs, none):
     kept = decontaminate.without_leaks(docs, items)
     assert got(kept) == Counter(r for r in ROWS if r[0] != 5)
     assert decontaminate.leaks(none, items).count() == decontaminate.leaks(docs, items.limit(0)).count() == 0
-    assert got(decontaminate.leaks(docs, items, block_bytes=20)) == got(found)
+    assert got(decontaminate.leaks(docs, items, grams=5)) == got(found)
 
 
 def test_edited_copies_are_found(spark):
@@ -127,6 +127,27 @@ def test_edited_copies_are_found(spark):
     assert sorted(r["doc_id"] for r in found.collect()) == [0, 1, 2]
 
 
+def test_runs_that_are_too_many_for_a_list(spark, docs, monkeypatch):
+    """A table of bits lets other runs through; the join drops them."""
+    items = spark.createDataFrame([(1, ITEM), (2, "one two three four")], "item_id long, text string")
+    found = got(decontaminate.leaks(docs, items))
+    monkeypatch.setattr(decontaminate, "EXACT", 0)
+    monkeypatch.setattr(decontaminate, "_BITS", 64)
+    assert got(decontaminate.leaks(docs, items)) == found and sum(found.values()) == 4
+
+
+def test_what_edits_leave_of_a_copy(spark):
+    """The documented limit: every third word changed leaves no run, every fourth leaves some."""
+    words = [f"w{i}" for i in range(41)]
+    texts = [" ".join("x" if i % n == n - 1 else w for i, w in enumerate(words)) for n in (3, 4, 5)]
+    # Many other documents with the item's beginning do not cost an edited copy its few runs.
+    texts += [f"{' '.join(words[:12])} then other text {i}" for i in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.leaks(frame, spark.createDataFrame([(9, " ".join(words))], "item_id long, text string"))
+    scores = {r["doc_id"]: round(r["score"], 3) for r in found.collect()}
+    assert scores == {1: 0.634, 2: 0.707} or scores == {1: 0.646, 2: 0.707}, scores
+
+
 def test_items_of_any_script_and_length_are_found(spark):
     items = {
         1: "水是由氢和氧组成的化合物。", 2: "東京は日本の首都ですか？", 3: "เมืองหลวงของประเทศไทยคือกรุงเทพ", 4: "Solo", 5: "Forty-two",
@@ -264,7 +285,7 @@ def test_small_sources_reach_their_targets(spark):
             target[r["source"]] = r["target"]
         assert all(abs(taken[s] - target[s]) <= 1.5 for s in names)
         assert abs(sum(taken.values()) - sum(target.values())) <= 1
-        assert all(r["words"] == taken[r["source"]] and r["quota"] == r["words"] // 64 for r in plan.collect())
+        assert all(r["words"] == taken[r["source"]] and abs(r["words"] - 64 * r["quota"]) <= 64 for r in plan.collect())
 
 
 def test_neighbours(spark):

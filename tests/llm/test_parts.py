@@ -37,7 +37,7 @@ def test_token_file_random_access(tmp_path):
         writer.add(None if i == 1 else i, ids[a:b])
     assert writer.close() == store.get_file_info(path).size
     reader = tokenfile.Reader(store, path)
-    assert reader.docs == [0, None, 2, 3, 4]
+    assert reader.docs.to_pylist() == [0, None, 2, 3, 4]
     assert all((reader.document(i) == ids[a:b]).all() for i, (a, b) in enumerate(zip(cuts, cuts[1:])))
     assert (reader.read(65_000, 140_000) == ids[65_000:140_000]).all()
 
@@ -200,11 +200,15 @@ def test_apportionment(spark, seats):
 
 
 def test_shard_quotas(spark):
-    plan = spark.createDataFrame([("a", 17), ("b", 4), (None, 0)], "source string, quota long")
+    plan = spark.createDataFrame([("a", 30, 0, 17), ("b", 5, 2, 4), (None, 0, 0, 0)], "source string, blocks long, rounds long, chosen long")
     rows = mixing.shard_quotas(plan, 4).collect()
-    for source, quota in (("a", 17), ("b", 4), (None, 0)):
-        own = [r["blocks"] for r in rows if r["source"] == source]
-        assert len(own) == 4 and sum(own) == quota and max(own) - min(own) <= 1
+    for source, blocks, rounds, chosen in (("a", 30, 0, 17), ("b", 5, 2, 4), (None, 0, 0, 0)):
+        own = [r["blocks"] for r in sorted(rows, key=lambda r: r["shard"]) if r["source"] == source]
+        held = [len(range(shard, blocks, 4)) for shard in range(4)]
+        assert len(own) == 4 and sum(own) == rounds * blocks + chosen
+        assert all(rounds * h <= n <= (rounds + 1) * h for n, h in zip(own, held))
+        more = [n - rounds * h for n, h in zip(own, held)]
+        assert max(more) - min(more) <= 1
 
 
 def test_rebalancing():
