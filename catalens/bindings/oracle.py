@@ -763,6 +763,7 @@ CUBE = {f"cube_{key.removeprefix('slice_')}": sql for key, sql in SLICES.items()
 
 # Other ways to the same rows.
 INDEXES = {
+    "dq_unique_bitmap": QUALITY["dq_unique_id"],
     "run_eda_shared": SUMMARIES["run_eda"],
     "search_title": CATALOGUE["q07_title_search"],
     "search_overview": CATALOGUE["q07_overview_search"],

@@ -615,6 +615,7 @@ def _run_eda_shared(spark, sf_dir):
 
 
 INDEXES: dict[str, Query] = {
+    "dq_unique_bitmap": _on_raw(lambda raw: quality.check_unique(cleaning.typed(raw, "id")), "id"),
     "run_eda_shared": _run_eda_shared,
     "search_title": _searched(catalogue.title_search, "title", TITLE_PHRASE),
     "search_overview": _searched(catalogue.overview_search, "overview", OVERVIEW_PHRASE),

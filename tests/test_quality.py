@@ -87,3 +87,16 @@ def test_raw_gate(raw_frame, low_gates):
 def test_one_scan_for_all_checks(four, low_gates):
     plan = quality.check_clean(four, low_gates)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+@pytest.mark.parametrize("spread", [1, 3, 10**9])
+def test_unique_ids_by_bitmaps(spark, spread):
+    numbers = [None, None, -70_000, -1, 0, 0, 32_767, 32_768, 32_769, *[spread * (i % 900) for i in range(2000)], 2**62 if spread > 3 else 7]
+    frame = spark.createDataFrame([(n,) for n in numbers], "id long").repartition(5)
+    found = quality.distinct_whole_numbers(frame, "id").first()
+    assert (found["rows"], found["distinct"]) == (len(numbers), len(set(numbers)))
+    assert quality.check_unique(frame).collect() == quality.check_clean(frame, only=["unique_id"]).collect()
+    plan = quality.distinct_whole_numbers(frame, "id")._jdf.queryExecution().executedPlan().toString()
+    assert ("bitmap" in plan) == (spread == 1 or spread == 3)
+    assert quality.distinct_whole_numbers(frame.limit(0), "id").first()["distinct"] == 0
+    assert quality.check_unique(frame.where("id IS NULL")).first()["detail"] == "1 duplicate ids"
