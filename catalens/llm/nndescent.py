@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalens.llm.store import materialise, whole_groups
+from catalens.llm.store import discard, materialise, whole_groups
 
 TREES, LEAF, NEIGHBOURS, GROUP, PIVOTS = 4, 256, 32, 128, 256
 BEAM, OPEN, OFFERED = 160, 40, 10
@@ -262,7 +262,8 @@ def build(embeddings: DataFrame, kept: int = 6, stop: float = 0.03) -> Index:
     dimension = len(first[0]) // 4 if first else 1
     graph = _start(points, size, dimension)
     for number in count() if size > 2 * LEAF else ():
-        graph = _descend(graph, number)
+        before, graph = graph, _descend(graph, number)
+        discard(before)
         news = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
         if news <= stop * NEIGHBOURS * size:
             break

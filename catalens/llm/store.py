@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -37,8 +38,23 @@ ENTRY_ARROW = pa.schema([
 ])
 
 
+_areas: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    return shared_folder(spark)
+    """A new folder path on shared storage, inside the innermost `scratch_area`."""
+    return f"{_areas[-1]}/{uuid.uuid4().hex}" if _areas else shared_folder(spark)
+
+
+@contextmanager
+def scratch_area(spark: SparkSession) -> Iterator[str]:
+    """Scratch tables made inside are removed at the end. What shall stay, frames that read
+    them included, has to be written elsewhere before."""
+    _areas.append(scratch(spark))
+    try:
+        yield _areas[-1]
+    finally:
+        remove(spark, _areas.pop())
 
 
 def materialise(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -46,7 +62,14 @@ def materialise(rows: DataFrame, path: str | None = None) -> DataFrame:
     spark = rows.sparkSession
     path = path or scratch(spark)
     rows.write.mode("overwrite").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    written = spark.read.schema(rows.schema).parquet(path)
+    written._scratch = path  # for `discard`
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Remove the table of a frame that `materialise` gave, once nothing reads it any more."""
+    remove(written.sparkSession, written._scratch)
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
