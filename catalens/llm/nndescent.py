@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from catalens.llm.store import discard, materialise, whole_groups
 
 TREES, LEAF, NEIGHBOURS, GROUP, PIVOTS = 4, 256, 32, 128, 256
-BEAM, OPEN, OFFERED = 160, 40, 10
+BEAM, OPEN, OFFERED = 160, 80, 10
 SEED = 20240311
 
 
