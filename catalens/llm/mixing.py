@@ -3,15 +3,17 @@
 A source's documents lie in a seeded order on a line of tokens, cut into blocks of
 `block` tokens, the last of which holds the rest. Blocks are given to the sources by the
 highest quotients target / 1, target / 3, target / 5 ..., which makes whole quotas; each is
-the target in blocks, rounded up or down, however many small sources there are. What a
-target lacks or has too much in tokens, less than a block, is a part of one more block or
-cut off the last, so that sources smaller than a block reach their targets, too.
+the target in blocks, rounded up or down, however many small sources there are. A source
+gives the tokens of its quota and what its target lacks or has too much beyond it, a block
+at most: a part of one more block, or cut off a block of the quota. So sources smaller than
+a block reach their targets, too.
 
 A source gives all its tokens as often as they fit into its number. Its blocks are dealt to
 SHARDS shards in turn; the blocks that are left to give are split over these as evenly as
 whole ones allow (`shard_quotas`), and each shard gives its number by a seeded choice among
-its own. The part of one more comes from the next block of the next shard's choice (the
-last, short block comes after all others).
+its own. The part of one more comes from the next block of the next shard's choice; where
+the quota has a block too much, the first block of that shard's choice is the one that is
+cut (the last, short block comes after all others).
 
 Targets: weights share all tokens; a target stops at `most` times its source's size
 and the excess is shared again by weight until no target is above.
@@ -103,7 +105,7 @@ def apportion(sources: DataFrame, seats: int, votes: str, limit: str, least: str
     return ranked.withColumn("quota", (F.col("quota") + own).cast("long")).drop("_more", "_before")
 
 
-_GIVEN = ("blocks", "rounds", "chosen", "rest")
+_GIVEN = ("blocks", "rounds", "chosen", "rest", "cut")
 
 
 def _step(blocks: Column) -> Column:
@@ -112,10 +114,11 @@ def _step(blocks: Column) -> Column:
 
 
 def plan(sizes: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """source, source_size, weight, target, blocks, quota, words, rounds, chosen, rest per source.
+    """source, source_size, weight, target, blocks, quota, words, rounds, chosen, rest, cut per source.
 
     `blocks` counts its whole blocks. `quota` is the number it is to give, `words` all it
-    gives: its whole size `rounds` times, `chosen` blocks more, and `rest` words of another.
+    gives, within a block of these: its whole size `rounds` times, `chosen` blocks more, and
+    `rest` words of another, which is one of the quota's if that is `cut`.
 
     `sizes`: source, source_size. `weights`: source, weight; by default 1, 2, 3, repeating.
     """
@@ -132,16 +135,18 @@ def plan(sizes: DataFrame, weights: DataFrame | None = None, block: int = BLOCK,
     })
     total = aimed.agg(F.sum("target")).first()[0] or 0.0
     given = apportion(aimed, round(total / block), "target", "_high", "_low")
-    # The target in whole words, up or down so that the running sum of all targets is rounded.
-    fine = F.rint(F.col("target") * 1024).cast("long")
+    # What the quota's words lack, in whole words, up or down so that the running sum of all is rounded.
+    held = F.col("quota") * block
+    fine = F.rint((F.col("target") - held) * 1024).cast("long")
     given = running_total(given, ["source"], fine, "_before")
-    words = F.shiftright(F.col("_before") + fine + 512, 10) - F.shiftright(F.col("_before") + 512, 10)
+    lacking = F.shiftright(F.col("_before") + fine + 512, 10) - F.shiftright(F.col("_before") + 512, 10)
+    words = held + F.greatest(F.lit(-block), F.least(F.lit(block), lacking))
     whole = F.greatest(F.col("source_size"), F.lit(1))
     left = F.col("words") % whole
-    exact = given.withColumn("words", words).withColumns({
-        "rounds": F.floor(F.col("words") / whole), "chosen": F.floor(left / block), "rest": left % block,
+    exact = given.withColumn("words", F.greatest(F.lit(0), words).cast("long")).withColumns({
+        "rounds": F.floor(F.col("words") / whole), "chosen": F.floor(left / block), "rest": left % block, "cut": F.col("words") < held,
     })
-    return materialise(exact.select("source", "source_size", "weight", "target", "blocks", "quota", "words", "rounds", "chosen", "rest"))
+    return materialise(exact.select("source", "source_size", "weight", "target", "quota", "words", *_GIVEN))
 
 
 def _of_shard(blocks: Column, shard: Column, shards: int) -> Column:
@@ -176,7 +181,7 @@ def mix(
     rows = placed.join(table, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     begin = F.col("_at") - F.col("_from")
     end = begin + F.col("size")
-    full, rounds, chosen, rest = map(F.col, _GIVEN)
+    full, rounds, chosen, rest, cut = map(F.col, _GIVEN)
 
     def own(total: Column, i: Column) -> Column:
         """The words of block i, of [begin, end), that its shard gives."""
@@ -184,7 +189,10 @@ def mix(
         turns = F.greatest(_of_shard(full, shard, shards), F.lit(1).cast("long"))
         turn = F.pmod(F.floor(i / shards) * _step(turns) + F.pmod(F.lit(seed), turns), turns)
         quota = _of_shard(chosen, shard, shards)
-        next_one = (shard == chosen % shards) & (turn == quota)
+        next_shard = shard == chosen % shards
+        # Of the blocks up to the next one, the first and not the last is cut.
+        turn = F.when(cut & next_shard & (turn <= quota), F.pmod(turn - 1, quota + 1)).otherwise(turn)
+        next_one = next_shard & (turn == quota)
         given = F.when(turn < quota, F.lit(block).cast("long")).when(next_one, rest).otherwise(0)
         given = F.when(i < full, given).otherwise(F.when(chosen >= full, rest).otherwise(0))
         return total + F.greatest(F.lit(0), F.least(i * block + given, end) - F.greatest(i * block, begin))

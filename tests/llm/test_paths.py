@@ -85,6 +85,31 @@ def test_mixing_takes_each_shards_quota_of_blocks(spark, aim):
         assert max(sum(vs) // len(vs) for vs in given.values()) - min(sum(vs) // len(vs) for vs in given.values()) <= 2 * block / 18
 
 
+def test_quotas_decide_what_is_taken(spark, monkeypatch):
+    """Words stay within a block of the quota, and a quota rounded up has its first chosen block cut."""
+    block = mixing.BLOCK
+    docs = spark.createDataFrame([(i, "a" if i < 40 else "b", block) for i in range(80)], "doc_id long, source string, size long")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 2.3)], "source string, weight double")
+    own = mixing.apportion
+
+    def taken(more):
+        def quotas(sources, seats, votes, limit, least=None):
+            return own(sources, seats, votes, limit, least).withColumn("quota", F.floor(votes_in_blocks) + more)
+
+        votes_in_blocks = F.col("target") / block
+        monkeypatch.setattr(mixing, "apportion", quotas)
+        mixed, planned = mixing.mix(docs, weights)
+        return {r["doc_id"]: r["taken"] for r in mixed.collect() if r["source"] == "a"}, planned.where("source = 'a'").first()
+
+    (down, low), (up, high) = taken(0), taken(1)
+    assert (low["cut"], high["cut"], high["quota"] - low["quota"]) == (False, True, 1) and low["rest"] > 0
+    assert sum(down.values()) == sum(up.values()) == low["words"] == high["words"]
+    assert down != up and sorted(down.values()) == sorted(up.values())
+    assert sum(v > 0 for v in up.values()) == high["quota"]
+    far, plan = taken(-8)
+    assert sum(far.values()) == plan["words"] == (low["quota"] - 7) * block
+
+
 def test_mixing_chooses_blocks_by_seed(spark):
     docs = spark.createDataFrame([(i, "a" if i % 2 else "b", 64) for i in range(400)], "doc_id long, source string, size long")
     weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "source string, weight double")
