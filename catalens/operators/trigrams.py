@@ -8,9 +8,11 @@ What it returns are candidates: they hold every row with the phrase, and the cal
 predicate decides about each. A phrase of fewer than three bytes has no trigram, so all
 rows are candidates.
 
-A list is at most a part long, so a trigram that a third of all texts have spreads over
-all parts. The lists are written in ranges of column and trigram, so a search reads few
-row groups of them. On the driver are the phrase's trigrams with their counts, and the
+Parts are dealt to tasks one by one, not by blocks, so what a task reads stays as large as
+a few parts however many rows there are. A list is at most a part long, so a trigram that a
+third of all texts have spreads over all parts. The lists of a few parts each lie in a file,
+ordered by column and trigram, in small row groups: no task has all lists of a frequent
+trigram, and a search reads few row groups of a file. On the driver are the phrase's trigrams with their counts, and the
 numbers of parts that a search is left with, up to MANY.
 """
 
@@ -30,6 +32,8 @@ from pyspark.sql import types as T
 from catalens.sources.files import materialise
 
 PART_ROWS, PARTS_A_BLOCK = 1 << 16, 64
+#: Parts whose lists go into one file, on the average; bytes of a row group of lists.
+PARTS_A_FILE, LIST_GROUP = 4, 8 << 20
 #: Trigrams of a phrase that are looked up, the rarest first.
 RAREST = 4
 #: Parts beyond which a search names no single ones any more, but reads all rows of the candidates' join.
@@ -132,8 +136,7 @@ def build(rows: DataFrame, columns: tuple[str, ...], folder: str, part_rows: int
     parts = max(1, -(-rows.count() // part_rows))
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     placed = rows.withColumn("_part", part).withColumn("_block", F.floor(F.col("_part") / PARTS_A_BLOCK).cast("int"))
-    blocks = -(-parts // PARTS_A_BLOCK)
-    placed = placed.repartition(blocks, "_block").sortWithinPartitions("_block", "_part", "id")
+    placed = placed.repartition(parts, "_part").sortWithinPartitions("_block", "_part", "id")
     placed.write.partitionBy("_block").option("compression", "zstd").parquet(f"{folder}/rows")
     stored = spark.read.schema(placed.schema).parquet(f"{folder}/rows").select("_part", F.col("id").cast("long"), *[F.lower(c).alias(c) for c in columns])
 
@@ -148,6 +151,6 @@ def build(rows: DataFrame, columns: tuple[str, ...], folder: str, part_rows: int
     # A part's rows lie together, so its lists come in few pieces.
     pieces = stored.mapInArrow(run, POSTINGS).groupBy("column", "gram", "part")
     lists = pieces.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids")).withColumn("n", F.size("ids"))
-    lists = lists.repartitionByRange("column", "gram").sortWithinPartitions("column", "gram", "part")
-    lists.write.option("compression", "zstd").parquet(f"{folder}/postings")
+    lists = lists.repartition(-(-parts // PARTS_A_FILE), "part").sortWithinPartitions("column", "gram", "part")
+    lists.write.options(**{"compression": "zstd", "parquet.block.size": LIST_GROUP}).parquet(f"{folder}/postings")
     return TrigramIndex(spark, folder, tuple(columns), placed.schema)

@@ -50,6 +50,16 @@ def test_searches_read_few_rows(texts, index):
     assert lists.agg(F.max("n")).first()[0] <= 60  # a common trigram's list is cut by part
 
 
+def test_no_task_writes_many_parts_or_lists(spark, tmp_path):
+    rows = spark.range(6400).select("id", F.concat(F.lit("the war "), F.col("id").cast("string")).alias("title"))
+    index = trigrams.build(rows, ("title",), f"{tmp_path}/many", part_rows=100)  # 64 parts, one block
+    tasks = index.rows.groupBy(F.input_file_name()).count().collect()
+    assert len(tasks) > 20 and max(r["count"] for r in tasks) < 6400 / 6
+    lists = spark.read.parquet(f"{index.folder}/postings").groupBy(F.input_file_name()).agg(F.sum("n").alias("n")).collect()
+    assert len(lists) > 8 and max(r["n"] for r in lists) < sum(r["n"] for r in lists) / 3
+    assert containing(index.candidates("title", "war 63"), "title", "war 63").count() == 111
+
+
 def test_an_index_of_nothing(spark, texts, tmp_path):
     none = trigrams.build(texts.limit(0), ("title",), f"{tmp_path}/none")
     assert none.candidates("title", "war").count() == 0
@@ -93,6 +103,20 @@ def test_most_frequent_of_nothing(skewed):
     assert heavy.top_counts(skewed.limit(0), "value", 3).count() == 0
 
 
+def test_the_layout_makes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(3000).selectExpr("id", "cast(id % 90 as int) release_year", "id % 7 vote_count", "'en' original_language")
+    rows = rows.mapInArrow(count, rows.schema)
+    clustered.write_clustered(rows, f"{tmp_path}/once", files=4)
+    assert made.value == 3000 and spark.read.parquet(f"{tmp_path}/once").count() == 3000
+
+
 def test_a_narrow_slice_skips_most_files(spark, tmp_path):
     rnd = random.Random(2)
     rows = spark.createDataFrame(
