@@ -4,7 +4,8 @@ Rows are ordered along a curve that interleaves the bits of several columns' ran
 that are near in all of them lie in few files, and Parquet's least and greatest values per
 row group rule the others out. A rank is the number of cut points a value reaches; the cut
 points part the rows evenly and come from quantile sketches, 2**BITS - 1 numbers a column.
-Texts rank by their first six bytes. One shuffle by range writes the table.
+Texts rank by their first six bytes. One shuffle by range writes the table. The sketches,
+the sample behind the ranges and the shuffle each read the rows, so these are written first.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalens.sources.files import materialise, remove, shared_folder
+
 BITS = 6
 ACCURACY = 10_000
 
@@ -48,7 +51,11 @@ def write_clustered(
 ) -> None:
     """The table as Parquet along the curve of `columns`, in about `files` files (by default
     as many as the session's shuffle partitions)."""
+    spark = rows.sparkSession
+    held = shared_folder(spark)
+    rows = materialise(rows, held)
     rows = rows.withColumn("_place", curve(rows, columns))
     ranged = rows.repartitionByRange(files, "_place") if files else rows.repartitionByRange("_place")
     ordered = ranged.sortWithinPartitions("_place", *columns).drop("_place")
     ordered.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    remove(spark, held)
