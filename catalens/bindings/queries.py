@@ -223,7 +223,7 @@ def _reuse_clean(spark, sf_dir):
 
 def _clean_merge(spark, sf_dir):
     """The raw rows in two deliveries, copies of an id in either, merged one after the other."""
-    raw = raw_catalog(spark, sf_dir)
+    raw = files.materialise(raw_catalog(spark, sf_dir), files.shared_folder(spark))  # both deliveries come from it
     second = F.pmod(F.xxhash64("title", "vote_count"), F.lit(2)) == 1
     table = versions.BucketTable(spark, files.shared_folder(spark), buckets=16)
     table.merge(raw.where(~second), LIMITS)
