@@ -211,7 +211,7 @@ def _reuse_clean(spark, sf_dir):
     outcomes = []
     for number in (1, 2, 3):
         if number == 3:
-            raw = files.materialise(raw_catalog(spark, sf_dir), raw_path)
+            raw = files.write_anew(spark, raw_path)
         digest = versions.input_digest(spark, raw_path, LIMITS)
         cleaned, summary, _ = clean_or_reuse(spark, lambda: raw, path, digest, LIMITS, reuse=True)
         note = F.col("note") if "note" in summary.columns else F.lit("")

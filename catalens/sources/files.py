@@ -138,6 +138,17 @@ def materialise(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def write_anew(spark: SparkSession, path: str) -> DataFrame:
+    """The same table from new files: written beside its place, which they then take."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    write_clean(spark.read.parquet(path), beside)
+    remove(spark, path)
+    system, there = file_system(spark, path)
+    if not system.rename(file_system(spark, beside)[1], there):
+        raise FileExistsError(f"{path} was written by another run")
+    return spark.read.parquet(path)
+
+
 def conform(rows: DataFrame, schema: T.StructType = CLEAN_SCHEMA) -> DataFrame:
     """Columns of `schema`, in its order and with its types."""
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])

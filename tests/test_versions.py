@@ -162,3 +162,50 @@ def test_stages_that_ran_twice_are_noticed(spark, monkeypatch):
             StatusTracker, "getStageInfo", lambda self, s: SparkStageInfo(s, attempts[s], "n", 1, 0, 1, 0)
         )
         assert cleaning.ran_once(spark, "g") is once
+
+
+@pytest.mark.parametrize("name", ["reuse_clean", "clean_merge"])
+def test_the_raw_rows_are_made_once(spark, monkeypatch, name):
+    """The runs and deliveries of a query start from the same written rows."""
+    from catalens.bindings import queries as bound
+
+    calls, own = [], files.materialise
+    monkeypatch.setattr(bound, "raw_catalog", lambda spark, sf_dir: calls.append(sf_dir) or raw)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    source = own(_raw_rows(spark), files.shared_folder(spark))
+    raw = source.mapInArrow(count, source.schema)
+    assert bound.FILES[name](spark, "unused").count() > 0
+    assert len(calls) == 1 and made.value == source.count()
+
+
+def _raw_rows(spark):
+    from catalens.bindings.tables import raw_catalog
+
+    return raw_catalog(spark, "/root/testdata/sf0.001")
+
+
+def test_a_table_written_anew_has_the_same_rows_in_new_files(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    first = files.materialise(spark.range(50).repartition(3), path)
+    before, digest = rows(first), versions.input_digest(spark, path)
+    assert rows(files.write_anew(spark, path)) == before
+    assert versions.input_digest(spark, path) != digest
+
+
+def test_titles_are_searched_for_junk_once_and_again_where_trimmed(spark, raw_frame):
+    """A pattern may see the blanks around a title: the count takes it as written, the gate trimmed."""
+    limits = CleanRules(junk_patterns=(r"\bads$", r"^ x", r"www\.", "BUY now"))
+    titles = ["good ads", "ads ", " x ray", "WWW.a", "wwwxa", "buy NOW", "fine", " buy now ", "Ads", None]
+    raw = raw_frame(*[row(id=i, title=t) for i, t in enumerate(titles)])
+    observed, path = cleaning.Observed(raw, limits), files.shared_folder(spark)
+    assert observed.write(path)
+    assert spark.read.parquet(path).select(*CLEAN_COLUMNS).exceptAll(cleaning.clean(raw, limits)).count() == 0
+    counts = observed.counts()
+    assert counts["clean_rows"] == cleaning.clean(raw, limits).count()
+    assert counts["spam_title"] == cleaning.diagnostics(raw, limits).first()["spam_title"] == 6
