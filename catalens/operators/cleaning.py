@@ -98,11 +98,12 @@ def rating_in_range(limits: CleanRules) -> Column:
     return rules.null_or_between(F.col("vote_average"), limits.min_rating, limits.max_rating)
 
 
-def admissible(rows: DataFrame, limits: CleanRules) -> DataFrame:
+def admissible(rows: DataFrame, limits: CleanRules, not_junk: Column | None = None) -> DataFrame:
+    """`not_junk`: what `title_not_junk` says, where that is known already."""
     return rows.filter(
         has_required()
         & title_long_enough(limits)
-        & title_not_junk(limits)
+        & (title_not_junk(limits) if not_junk is None else not_junk)
         & year_in_range(limits)
         & measures_in_range(limits)
         & rating_in_range(limits)
@@ -187,13 +188,13 @@ def clean(raw: DataFrame, limits: CleanRules = CleanRules()) -> DataFrame:
 # --- what cleaning removed ------------------------------------------------
 
 
-def _counts(limits: CleanRules, missing: Column, bad_date: Column, title: Column, revenue: Column, good: Column) -> list[Column]:
+def _counts(limits: CleanRules, missing: Column, bad_date: Column, junk: Column, revenue: Column, good: Column) -> list[Column]:
     """Overlapping counts over the good raw rows."""
     return [
         F.count_if(good).alias("raw_rows"),
         F.count_if(good & missing).alias("missing_title"),
         F.count_if(good & bad_date).alias("bad_date"),
-        F.count_if(good & rules.matches_any(title, limits.junk_patterns)).alias("spam_title"),
+        F.count_if(good & junk).alias("spam_title"),
         F.count_if(good & (revenue > limits.max_revenue)).alias("over_cap_revenue"),
     ]
 
@@ -203,7 +204,8 @@ def diagnostics(raw: DataFrame, limits: CleanRules = CleanRules()) -> DataFrame:
     title = F.col("title")
     missing = title.isNull() | (parse.trim_spaces(title) == "")
     bad_date = parse.parse_date(F.col("release_date")).isNull()
-    return raw.agg(*_counts(limits, missing, bad_date, title, parse.parse_double(F.col("revenue")), F.lit(True)))
+    junk = rules.matches_any(title, limits.junk_patterns)
+    return raw.agg(*_counts(limits, missing, bad_date, junk, parse.parse_double(F.col("revenue")), F.lit(True)))
 
 
 class Observed:
@@ -218,16 +220,18 @@ class Observed:
         self._raw_counts, self._clean_count = Observation(), Observation()
         self._tag = f"cleaning-{uuid.uuid4().hex}"
         malformed = F.col(MALFORMED) if MALFORMED in raw.columns else F.lit(None).cast("string")
-        # As in `typed`; the title as written is needed for its patterns.
-        extra = [F.col("title").alias("_title"), malformed.isNull().alias("_good")]
+        # As in `typed`; the patterns are sought in the title as written, and once more only where trimming changed it.
+        junk = rules.matches_any(F.col("title"), limits.junk_patterns)
+        extra = [F.col("title").alias("_title"), junk.alias("_junk"), malformed.isNull().alias("_good")]
         rows = raw.select(F.inline(F.array(F.struct(*[parsed(c) for c in _TYPED], *extra))))
         title = F.col("title")
         counts = _counts(
-            limits, title.isNull() | (title == ""), F.col("release_date").isNull(), F.col("_title"), F.col("revenue"), F.col("_good")
+            limits, title.isNull() | (title == ""), F.col("release_date").isNull(), F.col("_junk"), F.col("revenue"), F.col("_good")
         )
         rows = rows.observe(self._raw_counts, *counts, F.count_if(~F.col("_good")).alias("malformed_rows"))
-        rows = rows.where("_good").drop("_title", "_good")
-        whole = rows.transform(admissible, limits).transform(best_copy).transform(enriched)
+        not_junk = F.when(title == F.col("_title"), ~F.col("_junk")).otherwise(title_not_junk(limits))
+        rows = rows.where("_good").transform(admissible, limits, not_junk).drop("_title", "_junk", "_good")
+        whole = rows.transform(best_copy).transform(enriched)
         self.cleaned = whole.observe(self._clean_count, F.count("*").alias("clean_rows"))
 
     def write(self, path: str) -> bool:

@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,10 +79,15 @@ _STATES_ARROW = pa.schema([
 _RECORD = T.StructType([T.StructField("record", T.StringType())])
 
 
+def _without_return(line: Column) -> Column:
+    """The text without a carriage return at its end."""
+    return F.when(line.endswith("\r"), line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """file, start (of the split), outside and inside (a line's last state by its first), part, line."""
     line, at = F.col("value"), F.col("_metadata")
-    bare = F.when(line.endswith("\r"), line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)
+    bare = _without_return(line)
     quoted = F.contains(line, F.lit('"'))
     return spark.read.option("lineSep", "\n").text(path).select(
         F.xxhash64(at["file_path"]).alias("file"),
@@ -310,8 +315,7 @@ def parse(found: DataFrame, names: tuple[str, ...], keep_malformed: bool = False
     options = {
         "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED, "maxCharsPerColumn": "-1",
     }
-    record = F.regexp_replace("record", r"\r\z", "")
-    parsed = F.from_csv(F.coalesce(record, F.lit("")), schema, options)
+    parsed = F.from_csv(F.coalesce(_without_return(F.col("record")), F.lit("")), schema, options)
     # As in `cleaning.typed`: what comes out of an array is parsed once.
     rows = found.select(F.inline(F.array(parsed)), F.col("record").isNull().alias("_too_long"))
     bad = F.coalesce(F.col(MALFORMED), F.when(F.col("_too_long"), F.lit("")))
