@@ -27,18 +27,18 @@ columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalens.llm.store import discard, materialise, whole_groups
+from catalens.sources.files import shuffles_removed
 
 TREES, LEAF, NEIGHBOURS, GROUP, PIVOTS = 4, 256, 32, 128, 256
 BEAM, OPEN, OFFERED = 160, 80, 10
@@ -48,9 +48,10 @@ SEED = 20240311
 @dataclass(frozen=True)
 class Index:
     points: DataFrame  # point, vector (bytes of float32), ids (the smallest `kept` ones)
-    graph: DataFrame  # point, near, sims, fresh
+    graph: DataFrame  # a row of BLOCK per bucket of points
     size: int
     dimension: int
+    buckets: int
 
 
 def valid(embeddings: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -94,10 +95,96 @@ def points_of(rows: DataFrame, kept: int) -> DataFrame:
     return materialise(_packed(grouped, schema, 1))
 
 
-_HALF = T.StructField("half", T.BinaryType())
-_LIST = [T.StructField("near", T.ArrayType(T.LongType())), T.StructField("sims", T.ArrayType(T.FloatType())), T.StructField("fresh", T.ArrayType(T.BooleanType()))]
-GRAPH = T.StructType([T.StructField("point", T.LongType()), _HALF, *_LIST])
-OFFER = T.StructType([T.StructField("point", T.LongType()), T.StructField("other", T.LongType()), T.StructField("sim", T.FloatType())])
+#: Points, and queries, to a bucket on the average; pairs that are measured at once.
+POINTS, QUERIES, AT_ONCE = 2048, 512, 1 << 18
+#: What lies in one bucket, all columns of a kind as bytes. The last column, of the rows that are stored, is a count.
+BLOCK = T.StructType([
+    T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("data", T.ArrayType(T.BinaryType())),
+    T.StructField("n", T.LongType()),
+])
+_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.list_(pa.binary())), ("n", pa.int64())])
+_Kinds = dict[int, list]  # of each kind the types of its columns
+_Task = Callable[[int, dict[int, list[np.ndarray]]], Iterator[pa.RecordBatch]]
+
+
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """By hash, so that points and groups of any numbers are dealt evenly."""
+    x = ids.astype(np.uint64)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(33))) % np.uint64(buckets)).astype(np.int32)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ARROW)], schema=_ARROW)
+
+
+def _whole(bucket: int, columns: list[np.ndarray], n: int) -> pa.RecordBatch:
+    return _batch([(bucket, 0, [c.tobytes() for c in columns], n)])
+
+
+def _deal(kind: int, to: np.ndarray, columns: list[np.ndarray], who: np.ndarray | None = None, about: list[np.ndarray] = []) -> pa.RecordBatch:
+    """A block for every bucket that `to` names for the rows of `columns`.
+
+    `who` is each row's place in `about`, whose rows go to a bucket once. Such blocks end
+    with the columns of `about` and the number of rows that each of its rows has.
+    """
+    order = np.argsort(to, kind="stable") if who is None else np.argsort(to.astype(np.int64) << 32 | who)
+    to, columns = to[order], [c[order] for c in columns]
+    if who is not None:
+        who = who[order]
+        first = np.ones(len(to), bool)
+        first[1:] = (to[1:] != to[:-1]) | (who[1:] != who[:-1])
+        first = np.flatnonzero(first)
+        counts = np.diff(np.append(first, len(to))).astype(np.int32)
+        about = [*[c[who[first]] for c in about], counts]
+    rows = []
+    for a, b in _groups(to) if len(to) else []:
+        data = [c[a:b].tobytes() for c in columns]
+        if who is not None:
+            low, high = np.searchsorted(first, [a, b])
+            data += [c[low:high].tobytes() for c in about]
+        rows.append((int(to[a]), kind, data, None))
+    return _batch(rows)
+
+
+def _in_place(rows: DataFrame, kinds: _Kinds, task: _Task) -> DataFrame:
+    """`task` gets the columns of each kind in a bucket, whose blocks lie in one partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[int, list]] = {}
+        for batch in batches:
+            for bucket, kind, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                held.setdefault(bucket, {}).setdefault(kind, []).append(data)
+        for bucket in sorted(held):
+            found = held.pop(bucket)
+            columns = {}
+            for kind, types in kinds.items():
+                blocks, columns[kind] = found.pop(kind, []), []
+                for k, (type_, width) in enumerate(types):
+                    flat = np.frombuffer(b"".join([x[k] for x in blocks]), type_)
+                    columns[kind].append(flat.reshape(-1, width) if width else flat)
+            yield from task(bucket, columns)
+
+    return rows.mapInArrow(run, BLOCK)
+
+
+def _at_buckets(rows: list[DataFrame], buckets: int, kinds: _Kinds, task: _Task) -> DataFrame:
+    """The same after the blocks were dealt to their buckets."""
+    both = rows[0]
+    for more in rows[1:]:
+        both = both.unionByName(more)
+    return _in_place(both.repartitionById(buckets, F.col("bucket")), kinds, task)
+
+
+def _only(rows: DataFrame, *columns: int) -> DataFrame:
+    """Blocks with these columns."""
+    return rows.withColumn("data", F.array(*[F.get("data", F.lit(c)) for c in columns]))
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """A round's or step's blocks; what it shuffled goes from the executors' disks with its end."""
+    with shuffles_removed(rows.sparkSession):
+        return materialise(rows)
 
 
 def _groups(*columns: np.ndarray) -> list[tuple[int, int]]:
@@ -109,9 +196,12 @@ def _groups(*columns: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(bounds, bounds[1:]))
 
 
-def _offers(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b, s = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(3))
-    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s.astype(np.float32))], names=OFFER.names)
+def _graph_types(dimension: int) -> list:
+    """point, half, near (-1: none), sims, fresh; points in order."""
+    return [(np.int64, 0), (np.float16, dimension), (np.int64, NEIGHBOURS), (np.float32, NEIGHBOURS), (np.bool_, NEIGHBOURS)]
+
+
+_OFFER = [(np.int64, 0), (np.int64, 0), (np.float32, 0)]  # point, other, sim
 
 
 def _best(sims: np.ndarray, allowed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +217,11 @@ def _best(sims: np.ndarray, allowed: np.ndarray, most: int) -> tuple[np.ndarray,
     return row[good], top[good]
 
 
-def _start(points: DataFrame, size: int, dimension: int) -> DataFrame:
+def _offer(point: np.ndarray, other: np.ndarray, sim: np.ndarray, buckets: int) -> pa.RecordBatch:
+    return _deal(1, bucket_of(point, buckets), [point, other, sim.astype(np.float32)])
+
+
+def _start(points: DataFrame, size: int, dimension: int, buckets: int) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1, size) / LEAF))))
     directions = np.random.RandomState(SEED).normal(size=(TREES, dimension, bits))
     schema = T.StructType([
@@ -155,12 +249,17 @@ def _start(points: DataFrame, size: int, dimension: int) -> DataFrame:
                 sims = x[a:b] @ x[a:b].T
                 row, top = _best(sims, ~np.eye(b - a, dtype=bool), NEIGHBOURS)
                 out.append((point[a:b][row], point[a:b][top], sims[row, top]))
-            yield _offers(out)
+            yield _offer(*(np.concatenate([o[k] for o in out]) for k in range(3)), buckets)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                point, half = np.asarray(batch.column(0)), units(batch.column(1), np.float16)
+                none = [np.full((len(point), NEIGHBOURS), x, t) for x, (t, _) in zip((-1, -np.inf, False), _graph_types(dimension)[2:])]
+                yield _deal(0, bucket_of(point, buckets), [point, half, *none])
 
     dealt = leaves.select("leaf", "chunk", "point", "half").repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk")
-    half = coded.where(F.col("leaf") % TREES == 0)  # the first code of each point
-    empty = half.select("point", "half", *[F.array().cast(f.dataType).alias(f.name) for f in _LIST])
-    return _merge(empty, dealt.mapInArrow(join, OFFER))
+    return _merge(points.select("point", "vector").mapInArrow(place, BLOCK), dealt.mapInArrow(join, BLOCK), dimension, buckets)
 
 
 def _halves(column) -> np.ndarray:
@@ -168,84 +267,139 @@ def _halves(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
 
 
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """Values and sizes of a list column; null is empty."""
-    column = column.combine_chunks()
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False)), np.asarray(pc.fill_null(pc.list_value_length(column), 0))
-
-
-def _merge(graph: DataFrame, offers: DataFrame) -> DataFrame:
-    """The nearest NEIGHBOURS of old and offered ones; those that are new are fresh."""
-    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in GRAPH.fields[1:4]]
-    rows = graph.select("point", F.lit(0).alias("kind"), "half", "near", "sims", F.lit(None).cast("long").alias("other"), F.lit(None).cast("float").alias("sim"))
-    rows = rows.unionByName(offers.select("point", F.lit(1).alias("kind"), *blank, "other", "sim"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, 1):
-            kind = np.asarray(table.column("kind").combine_chunks())
-            state, offer = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
-            points = np.asarray(state.column("point").combine_chunks())
-            near, sizes = _flat(state.column("near"))
-            point = np.concatenate([np.repeat(points, sizes), np.asarray(offer.column("point").combine_chunks())])
-            other = np.concatenate([near, np.asarray(offer.column("other").combine_chunks())]).astype(np.int64)
-            sim = np.concatenate([_flat(state.column("sims"))[0], np.asarray(offer.column("sim").combine_chunks())]).astype(np.float32)
-            fresh = np.arange(len(point)) >= len(near)
-            order = np.lexsort((fresh, other, point))  # known ones first: an offer of them is no news
-            point, other, sim, fresh = point[order], other[order], sim[order], fresh[order]
-            once = point != other
-            once[1:] &= (point[1:] != point[:-1]) | (other[1:] != other[:-1])
-            point, other, sim, fresh = point[once], other[once], sim[once], fresh[once]
-            order = np.lexsort((other, -sim, point))
-            point, other, sim, fresh = point[order], other[order], sim[order], fresh[order]
-            first = np.searchsorted(point, point)
-            keep = np.arange(len(point)) - first < NEIGHBOURS
-            point, other, sim, fresh = point[keep], other[keep], sim[keep], fresh[keep]
-            ends = pa.array(np.append(np.searchsorted(point, points), len(point)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(other), pa.array(sim, pa.float32()), pa.array(fresh))]
-            yield pa.RecordBatch.from_arrays([pa.array(points), state.column("half").combine_chunks(), *lists], names=GRAPH.names)
-
-    return materialise(rows.repartition("point").sortWithinPartitions("point", "kind").mapInArrow(run, GRAPH))
-
-
-def _descend(graph: DataFrame, number: int) -> DataFrame:
-    """One round: who is near to whom among the neighbours of each point."""
-    worst = F.when(F.size("sims") >= NEIGHBOURS, F.get("sims", F.size("sims") - 1)).otherwise(-2.0).cast("float")
-    member = graph.select("point", worst.alias("worst"), "half")
-    edge = graph.select("point", worst.alias("worst"), "half", F.explode(F.arrays_zip("near", "fresh")).alias("x"))
-    edge = edge.select("point", "worst", "half", F.col("x.near").alias("other"), F.col("x.fresh").alias("fresh"))
-    # The other end of an edge knows its own vector; this end's is already here.
-    to = edge.select(F.col("point").alias("centre"), F.col("other").alias("point"), "fresh").join(member, "point")
-    meet = to.select("centre", "point", "fresh", "worst", "half").unionByName(
-        edge.select(F.col("other").alias("centre"), "point", "fresh", "worst", "half")
-    )
-    large = edge.groupBy(F.col("other").alias("centre")).agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
-    parts = F.ceil(F.coalesce("n", F.lit(0)) / GROUP).cast("int") + 1
-    salt = F.pmod(F.xxhash64("point", F.lit(number)), parts).cast("int")
-    meet = meet.join(materialise(large), "centre", "left").withColumn("chunk", F.when(F.col("n").isNull(), 0).otherwise(salt))
-    rows = meet.select("centre", "chunk", "point", "fresh", "worst", "half")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, 2):
-            centre, chunk, point, fresh, worst = (
-                np.asarray(table.column(k).combine_chunks().to_numpy(zero_copy_only=False)) for k in range(5)
-            )
-            fresh, halves, out = fresh.astype(bool), table.column(5).combine_chunks(), []
-            for a, b in _groups(centre, chunk):
-                if not fresh[a:b].any():
-                    continue
-                who, at = np.unique(point[a:b], return_index=True)  # neighbours both ways come twice
-                new = np.zeros(len(who), bool)
-                np.logical_or.at(new, np.searchsorted(who, point[a:b]), fresh[a:b])
-                x = _halves(halves.slice(a, b - a).take(pa.array(at)))
-                sims = x @ x.T
-                allowed = (new[:, None] | new) & (sims > worst[a:b][at][:, None])
-                np.fill_diagonal(allowed, False)
-                row, top = _best(sims, allowed, OFFERED)
-                out.append((who[row], who[top], sims[row, top]))
-            yield _offers(out)
-
-    dealt = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk")
-    return _merge(graph, dealt.mapInArrow(run, OFFER))
+def _ranked(row: np.ndarray, other: np.ndarray, sim: np.ndarray, flag: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """row, its place in the row's list, other, sim, flag of the `width` nearest others of each
+    row. Of copies the one whose flag is lower stays."""
+    _, rank = np.unique(other, return_inverse=True)
+    key = (row.astype(np.int64) * (len(rank) + 1) + rank) * 2 + flag
+    order = np.argsort(key)  # one key sorts several times faster than three
+    key = key[order] >> 1
+    once = np.ones(len(key), bool)
+    once[1:] = key[1:] != key[:-1]
+    order = order[once]
+    row, other, sim, flag = row[order], other[order], sim[order], flag[order]
+    bits = (-sim).view(np.uint32)
+    falling = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.int64)  # in the order of -sim
+    order = np.argsort(row.astype(np.int64) << 32 | falling, kind="stable")  # ties by `other`
+    row, other, sim, flag = row[order], other[order], sim[order], flag[order]
+    at = np.arange(len(row))
+    first = np.ones(len(row), bool)
+    first[1:] = row[1:] != row[:-1]
+    place = at - np.maximum.accumulate(np.where(first, at, 0))
+    keep = place < width
+    return row[keep], place[keep], other[keep], sim[keep], flag[keep]
+
+
+def _merge(graph: DataFrame, offers: DataFrame, dimension: int, buckets: int) -> DataFrame:
+    """The nearest NEIGHBOURS of old and offered ones; those that are new are fresh and counted."""
+    def task(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        points, half, near, sims, _ = columns[0]
+        order = np.argsort(points)
+        points, half, near, sims = points[order], half[order], near[order], sims[order]
+        point, offered, sim = columns[1]
+        at = np.searchsorted(points, point)
+        old, column = np.nonzero(near >= 0)
+        fresh = np.arange(len(old) + len(at)) >= len(old)  # known ones are kept: an offer of them is no news
+        other = np.concatenate([near[old, column], offered])
+        row = np.concatenate([old, at])
+        itself = points[row] == other
+        row, other, sim, fresh = row[~itself], other[~itself], np.concatenate([sims[old, column], sim])[~itself], fresh[~itself]
+        row, place, other, sim, fresh = _ranked(row, other, sim, fresh, NEIGHBOURS)
+        lists = [np.full(near.shape, x, t) for x, (t, _) in zip((-1, -np.inf, False), _graph_types(dimension)[2:])]
+        for held, values in zip(lists, (other, sim, fresh)):
+            held[row, place] = values
+        yield _whole(bucket, [points, half, *lists], int(fresh.sum()))
+
+    return _stored(_at_buckets([graph, offers], buckets, {0: _graph_types(dimension), 1: _OFFER}, task))
+
+
+def _descend(graph: DataFrame, number: int, dimension: int, buckets: int) -> DataFrame:
+    """One round: who is near to whom among the neighbours of each point.
+
+    A point learns how many name it, as larger groups are split (kinds 1 and 2: named, by the
+    bucket); then the two ends of each edge learn of each other's group (kind 1) and its
+    size (kind 2), and each sends its vector to both.
+    """
+    state = _graph_types(dimension)
+
+    def name(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        others, n = np.unique(columns[0][2][columns[0][2] >= 0], return_counts=True)
+        yield _deal(1, bucket_of(others, buckets), [others, n.astype(np.int32), np.full(len(others), bucket, np.int32)])
+
+    def tell(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        points, near, fresh = columns[0]
+        named, n, by = columns[1]
+        at = np.searchsorted(points, named)
+        total = np.bincount(at, n, len(points)).astype(np.int32)
+        row, column = np.nonzero(near >= 0)
+        other = near[row, column]
+        yield _deal(1, bucket_of(other, buckets), [other, points[row], fresh[row, column], total[row]])
+        large = total[at] > GROUP
+        yield _deal(2, by[large], [named[large], total[at[large]]])
+
+    def send(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        points, half, near, sims, fresh = columns[0]
+        own, centres, is_fresh, sizes = columns[1]
+        large, large_sizes = columns[2]
+        row, column = np.nonzero(near >= 0)
+        other = near[row, column]
+        order = np.argsort(large)
+        large, large_sizes = np.append(large[order], -1), np.append(large_sizes[order], 0)
+        place = np.searchsorted(large[:-1], other)
+        who = np.concatenate([np.searchsorted(points, own), row])
+        centre, new = np.concatenate([centres, other]), np.concatenate([is_fresh, fresh[row, column]])
+        size = np.concatenate([sizes, np.where(large[place] == other, large_sizes[place], 0)])
+        salt = bucket_of(points ^ (number + 1 << 40), 1 << 30)[who]
+        chunk = np.where(size > GROUP, salt % (-(-size // GROUP) + 1), 0).astype(np.int32)
+        worst = np.where(near[:, -1] >= 0, sims[:, -1], np.float32(-2))
+        group = centre ^ (chunk.astype(np.int64) << 44)
+        yield _deal(1, bucket_of(group, buckets), [centre, chunk, new], who, [points, worst, half])
+
+    def meet(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        centre, chunk, new, points, worst, half, n = columns[1]
+        who = np.repeat(np.arange(len(points)), n)
+        order = np.lexsort((who, chunk, centre))
+        centre, chunk, who, new = centre[order], chunk[order], who[order], new[order]
+        first = np.ones(len(who), bool)  # neighbours both ways come twice
+        first[1:] = (centre[1:] != centre[:-1]) | (chunk[1:] != chunk[:-1]) | (who[1:] != who[:-1])
+        first = np.flatnonzero(first)
+        if not len(first):
+            return
+        centre, chunk, who, new = centre[first], chunk[first], who[first], np.logical_or.reduceat(new, first)
+        bounds = np.array(_groups(centre, chunk))
+        sizes = np.diff(bounds, axis=1)[:, 0]
+        wanted = np.flatnonzero(np.logical_or.reduceat(new, bounds[:, 0]) & (sizes > 1))
+        wanted = wanted[np.argsort(sizes[wanted], kind="stable")]
+        while len(wanted):
+            count = min(len(wanted), max(1, AT_ONCE // int(sizes[wanted[0]]) ** 2))
+            while count > 1 and count * int(sizes[wanted[count - 1]]) ** 2 > AT_ONCE:
+                count -= max(1, count // 8)
+            now, wanted = wanted[:count], wanted[count:]
+            width = np.arange(sizes[now[-1]])
+            there = width < sizes[now][:, None]
+            at = np.where(there, bounds[now, :1] + width, bounds[now, :1])
+            member, is_new = who[at], new[at] & there
+            x = half[member].astype(np.float32)
+            sims = x @ x.transpose(0, 2, 1)
+            floor = np.where(there, worst[member], np.float32(np.inf))
+            allowed = (sims > floor[:, :, None]) & (is_new[:, :, None] | is_new[:, None, :]) & there[:, None, :]
+            allowed[:, width, width] = False
+            allowed, sims = allowed.reshape(-1, len(width)), sims.reshape(-1, len(width))
+            many = np.flatnonzero(np.count_nonzero(allowed, axis=1) > OFFERED)
+            if len(many):
+                row, column = _best(sims[many], allowed[many], OFFERED)
+                allowed[many] = False
+                allowed[many[row], column] = True
+            row, column = np.nonzero(allowed)
+            a, b = member.reshape(-1)[row], member[row // len(width), column]
+            yield _offer(points[a], points[b], sims[row, column], buckets)
+
+    named = _in_place(graph, {0: state}, name)
+    told = _at_buckets([_only(graph, 0, 2, 4), named], buckets, {0: [state[0], state[2], state[4]], 1: [(np.int64, 0), (np.int32, 0), (np.int32, 0)]}, tell)
+    edges = {0: state, 1: [(np.int64, 0), (np.int64, 0), (np.bool_, 0), (np.int32, 0)], 2: [(np.int64, 0), (np.int32, 0)]}
+    sent = _at_buckets([graph, told], buckets, edges, send)
+    members = [(np.int64, 0), (np.int32, 0), (np.bool_, 0), (np.int64, 0), (np.float32, 0), (np.float16, dimension), (np.int32, 0)]
+    return _merge(graph, _at_buckets([sent], buckets, {1: members}, meet), dimension, buckets)
 
 
 def beam_of(size: int) -> int:
@@ -260,30 +414,14 @@ def build(embeddings: DataFrame, kept: int = 6, stop: float = 0.03) -> Index:
     size = points.count()
     first = points.select("vector").first()
     dimension = len(first[0]) // 4 if first else 1
-    graph = _start(points, size, dimension)
+    buckets = max(1, -(-size // POINTS))
+    graph = _start(points, size, dimension, buckets)
     for number in count() if size > 2 * LEAF else ():
-        before, graph = graph, _descend(graph, number)
+        before, graph = graph, _descend(graph, number, dimension, buckets)
         discard(before)
-        news = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
-        if news <= stop * NEIGHBOURS * size:
+        if (graph.agg(F.sum("n")).first()[0] or 0) <= stop * NEIGHBOURS * size:
             break
-    return Index(points, graph, size, dimension)
-
-
-STATE = T.StructType([
-    T.StructField("query", T.LongType()),
-    T.StructField("vector", T.BinaryType()),
-    T.StructField("beam", T.ArrayType(T.LongType())),
-    T.StructField("sims", T.ArrayType(T.FloatType())),
-    T.StructField("opened", T.ArrayType(T.BooleanType())),
-])
-
-
-def _state(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, pa.schema([
-        ("query", pa.int64()), ("vector", pa.binary()), ("beam", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32())),
-        ("opened", pa.list_(pa.bool_())),
-    ]))
+    return Index(points, graph, size, dimension, buckets)
 
 
 def _unit(data: bytes) -> np.ndarray:
@@ -293,74 +431,123 @@ def _unit(data: bytes) -> np.ndarray:
 def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
     """query, vector, point: each query's nearest points, enough for its `k` nearest ids.
 
-    `queries`: query, vector (bytes of float32), own (its point in the index, or null).
+    `queries`: query, vector (bytes of float32), own (its point in the index, or null); they
+    are read twice.
     """
     pivots = index.points.orderBy(F.xxhash64("point", F.lit(SEED))).limit(PIVOTS).select("point", "vector").collect()
     if not pivots:
         return queries.select("query", "vector", F.lit(0).cast("long").alias("point")).limit(0)
     pivot_ids = np.array([p[0] for p in pivots])
     pivot_units = np.stack([_unit(p[1]) for p in pivots])
+    width, dimension, buckets = beam_of(index.size), index.dimension, index.buckets
+    homes = max(1, -(-queries.count() // QUERIES))
+    # query, vector, beam (-1: none), sims, opened; the nearest first
+    types = [(np.int64, 0), (np.float32, dimension), (np.int64, width), (np.float32, width), (np.bool_, width)]
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                sims = pivot_units @ _unit(r["vector"])
+            if not batch.num_rows:
+                continue
+            query, vector = np.asarray(batch.column(0)), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, dimension)
+            state = [np.full((len(query), width), x, t) for x, (t, _) in zip((-1, -np.inf, True), types[2:])]
+            for row, (unit, own) in enumerate(zip(units(batch.column(1)), batch.column(2).to_pylist())):
+                sims = pivot_units @ unit
                 top = np.argsort(-sims, kind="stable")[:OPEN]
                 beam, near = pivot_ids[top].tolist(), sims[top].tolist()
-                if r["own"] is not None:
-                    if r["own"] in beam:
-                        near.pop(beam.index(r["own"]))
-                        beam.remove(r["own"])
-                    beam, near = [r["own"], *beam], [1.0, *near]
-                rows.append({"query": r["query"], "vector": r["vector"], "beam": beam, "sims": near, "opened": [False] * len(beam)})
-            yield _state(rows)
-
-    state = materialise(queries.select("query", "vector", "own").mapInArrow(enter, STATE))
-    width = beam_of(index.size)
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, 1):
-            rows = []
-            query = np.asarray(table.column(0).combine_chunks())
-            for a, b in _groups(query):
-                part = table.slice(a, b - a)
-                old = part.slice(0, 1).to_pylist()[0]  # sorted: the state comes first
-                beam, sims, opened = np.array(old["beam"]), np.array(old["sims"], np.float32), np.array(old["opened"], bool)
-                chosen = np.flatnonzero(~opened)[:OPEN]
-                opened[chosen] = True
-                found = np.asarray(part.column("point").combine_chunks().to_numpy(zero_copy_only=False))[1:].astype(np.int64)
-                if len(found):
-                    x = _halves(part.column("found").combine_chunks().slice(1))
-                    beam, sims = np.concatenate([beam, found]), np.concatenate([sims, x @ _unit(old["vector"])])
-                    opened = np.concatenate([opened, np.zeros(len(found), bool)])
-                    top = np.lexsort((beam, -sims))[:width]
-                    beam, sims, opened = beam[top], sims[top], opened[top]
-                rows.append({"query": old["query"], "vector": old["vector"], "beam": beam.tolist(), "sims": sims.tolist(), "opened": opened.tolist()})
-                if len(rows) >= 256:
-                    yield _state(rows)
-                    rows = []
-            if rows:
-                yield _state(rows)
-
-    seen = state.select("query", F.explode("beam").alias("point"))
-    vectors = index.graph.select("point", F.col("half").alias("found"))
-    while True:  # every step opens points of all active queries, and none twice
-        todo = F.slice(F.filter("beam", lambda p, i: ~F.get("opened", i)), 1, OPEN)
-        active = state.where(F.exists("opened", lambda o: ~o))
-        if not active.take(1):
-            break
-        opening = active.select("query", F.explode(todo).alias("point")).join(index.graph.select("point", "near"), "point")
-        offered = opening.select("query", F.explode("near").alias("point")).distinct()
-        offered = materialise(offered.join(seen, ["query", "point"], "left_anti"))
-        seen = seen.unionByName(offered)
-        offered = offered.join(vectors, "point")
-        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in STATE.fields[1:]]
-        old = state.select(*STATE.names, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("point"), F.lit(None).cast("binary").alias("found"))
-        both = old.unionByName(offered.select("query", *blank, F.lit(1).alias("kind"), "point", "found"))
-        state = materialise(both.repartition("query").sortWithinPartitions("query", "kind").mapInArrow(step, STATE))
-    nearest = F.slice("beam", 1, k + 16)  # more than k, for near ties in single precision
-    return state.select("query", "vector", F.explode(nearest).alias("point"))
+                if own is not None:
+                    if own in beam:
+                        near.pop(beam.index(own))
+                        beam.remove(own)
+                    beam, near = [own, *beam], [1.0, *near]
+                for held, values in zip(state, (beam, near, False)):
+                    held[row, : len(beam)] = values
+            yield _deal(0, bucket_of(query, homes), [query, vector, *state])
+
+    def begin(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """One block of a bucket's queries in order; n counts those that have points to open."""
+        order = np.argsort(columns[0][0])
+        yield _whole(bucket, [c[order] for c in columns[0]], len(order))
+
+    def settle(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        query, vector, beam, sims, opened = columns[0]
+        opened = opened | ((~opened).cumsum(axis=1) <= OPEN)
+        asked, point, sim = columns[1]
+        old, column = np.nonzero(beam >= 0)
+        shut = np.concatenate([~opened[old, column], np.ones(len(point), bool)])
+        row = np.concatenate([old, np.searchsorted(query, asked)])
+        other, sim = np.concatenate([beam[old, column], point]), np.concatenate([sims[old, column], sim])
+        row, place, *values = _ranked(row, other, sim, shut, width)
+        state = [np.full(beam.shape, x, t) for x, (t, _) in zip((-1, -np.inf, True), types[2:])]
+        for held, x in zip(state, (values[0], values[1], ~values[2])):
+            held[row, place] = x
+        yield _whole(bucket, [query, vector, *state], int((~state[2]).any(axis=1).sum()))
+
+    def choose(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        query, _, beam, _, opened = columns[0]
+        row, column = np.nonzero(~opened & ((~opened).cumsum(axis=1) <= OPEN))
+        point = beam[row, column]
+        yield _deal(1, bucket_of(point, buckets), [point, query[row]])
+
+    def open_(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        points, near = columns[0]
+        point, query = columns[1]
+        at = np.searchsorted(points, point)
+        for a in range(0, len(at), 1 << 16):
+            row, column = np.nonzero(near[at[a : a + (1 << 16)]] >= 0)
+            asked, other = query[a + row], near[at[a + row], column]
+            yield _deal(1, bucket_of(asked, homes), [asked, other])
+
+    def ask(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """For the vectors of points that a query has not in its beam."""
+        query, vector, beam, sims, _ = columns[0]
+        asked, point = columns[1]
+        row = np.searchsorted(query, asked)
+        order = np.lexsort((point, row))
+        row, point = row[order], point[order]
+        once = np.ones(len(row), bool)
+        once[1:] = (row[1:] != row[:-1]) | (point[1:] != point[:-1])
+        row, point = row[once], point[once]
+        known = np.zeros(len(row), bool)
+        for a, b in _groups(row) if len(row) else []:
+            known[a:b] = np.isin(point[a:b], beam[row[a]])
+        row, point = row[~known], point[~known]
+        x = vector.astype(np.float64) / np.abs(vector).max(axis=1, keepdims=True)
+        unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        yield _deal(1, bucket_of(point, buckets), [point], row, [query, unit, sims[:, -1]])
+
+    def measure(bucket: int, columns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        points, half = columns[0]
+        point, query, unit, floor, n = columns[1]
+        who, at, half = np.repeat(np.arange(len(query)), n), np.searchsorted(points, point), half.astype(np.float32)
+        for a in range(0, len(at), 1 << 16):
+            w, p = who[a : a + (1 << 16)], at[a : a + (1 << 16)]
+            sims = (half[p] * unit[w]).sum(axis=1)  # the same for a pair in every step, unlike a product of matrices
+            near = sims >= floor[w]
+            w, p, sims = w[near], p[near], sims[near]
+            yield _deal(1, bucket_of(query[w], homes), [query[w], points[p], sims])
+
+    graph, pair = _graph_types(dimension), [(np.int64, 0), (np.int64, 0)]
+    met = [(np.int64, 0), (np.int64, 0), (np.float32, dimension), (np.float32, 0), (np.int32, 0)]
+    state = _stored(_at_buckets([queries.select("query", "vector", "own").mapInArrow(enter, BLOCK)], homes, {0: types}, begin))
+    while state.agg(F.sum("n")).first()[0]:  # every step opens points of all active queries, and none twice
+        chosen = _in_place(state.where("n > 0"), {0: types}, choose)
+        opened = _at_buckets([_only(index.graph, 0, 2), chosen], buckets, {0: [graph[0], graph[2]], 1: pair}, open_)
+        asked = _at_buckets([state, opened], homes, {0: types, 1: pair}, ask)
+        found = _at_buckets([_only(index.graph, 0, 1), asked], buckets, {0: graph[:2], 1: met}, measure)
+        before, state = state, _stored(_at_buckets([state, found], homes, {0: types, 1: _OFFER}, settle))
+        discard(before)
+    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("point", T.LongType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                query, beam = np.frombuffer(data[0], np.int64), np.frombuffer(data[2], np.int64).reshape(-1, width)
+                beam = beam[:, : k + 16]  # more than k, for near ties in single precision
+                row, column = np.nonzero(beam >= 0)
+                vectors = pa.array([v.tobytes() for v in np.frombuffer(data[1], np.float32).reshape(-1, dimension)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(query[row]), vectors.take(pa.array(row)), pa.array(beam[row, column])], names=schema.names)
+
+    return state.mapInArrow(read, schema)
 
 
 def nearest(index: Index, embeddings: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
@@ -370,7 +557,7 @@ def nearest(index: Index, embeddings: DataFrame, wanted: DataFrame, k: int = 5)
     rows = valid(wanted).select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("vector"))
     rows = materialise(_packed(rows.where(F.size("vector") == index.dimension), schema, 2))
     own = index.points.select("vector", F.col("point").alias("own"))
-    found = search(index, rows.join(own, "vector", "left").select("query", "vector", "own"), k)
+    found = search(index, materialise(rows.join(own, "vector", "left").select("query", "vector", "own")), k)
     pairs = found.join(rows.select("query", "query_id"), "query").join(index.points.select("point", F.col("vector").alias("other"), "ids"), "point")
     out = T.StructType([
         T.StructField("query", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType()),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,21 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(there, True)
 
 
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What a write inside shuffles is removed when the write ends, not when the driver happens to
+    collect its garbage."""
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
 def raw_schema(spark: SparkSession, path: str) -> T.StructType:
     """Column names from the header, all typed as text; only the header is read."""
     return text_schema(spark.read.options(**_CSV).csv(path).columns)

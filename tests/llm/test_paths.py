@@ -13,6 +13,7 @@ from catalens.llm import decontaminate, mixing, nndescent, quality, shards, toke
 from catalens.llm import queries as bound
 from catalens.llm.store import read_manifest, scratch
 from catalens.llm.vocab import read_vocabulary
+from catalens.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -185,6 +186,56 @@ def test_beams_grow_with_the_index():
     assert nndescent.BEAM < nndescent.beam_of(50_000) < nndescent.beam_of(10**9)
 
 
+def test_a_graph_is_a_block_for_each_bucket(spark):
+    """4,500 points around one that all are near to: lists are ranked, the hub's group is split, and
+    what the rounds and steps deal out is a row for many points, not one for each edge."""
+    rnd = np.random.RandomState(3)
+    vectors = (rnd.normal(size=(4500, 64)) * 0.125 + np.eye(64)[0]).astype(np.float32)
+    vectors[0] = np.eye(64)[0]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
+    index = nndescent.build(frame)
+    blocks = index.graph.collect()
+    assert len(blocks) == index.buckets == 3
+    ids = {r["point"]: r["ids"][0] for r in index.points.select("point", "ids").collect()}
+    types, named, seen = nndescent._graph_types(index.dimension), 0, 0
+    for block in blocks:
+        points, _, near, sims, _ = (np.frombuffer(d, t).reshape(-1, w) if w else np.frombuffer(d, t) for d, (t, w) in zip(block["data"], types))
+        assert 1000 < len(points) and (near >= 0).all() and (np.diff(sims, axis=1) <= 0).all()
+        assert all(len(set(row)) == len(row) and p not in row for p, row in zip(points.tolist(), near.tolist()))
+        named += sum(ids[p] == 0 for p in near.reshape(-1).tolist())
+        seen += len(points)
+    assert seen == 4500 and named > 4 * nndescent.GROUP
+    found = defaultdict(set)
+    for r in nndescent.nearest(index, frame, frame.where("vec_id % 50 = 0")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    queries = np.arange(0, 4500, 50)
+    expected = exact_neighbours(vectors.astype(np.float64), queries, 5)
+    assert sum(len(found[q] & set(row.tolist())) for q, row in zip(queries, expected)) >= 0.98 * expected.size
+
+
+def test_lists_keep_the_nearest_of_copies():
+    rnd = np.random.RandomState(4)
+    row, other = rnd.randint(0, 9, 4000), rnd.randint(0, 60, 4000).astype(np.int64) << 33
+    sim, flag = np.float32(rnd.randint(-8, 8, 4000) / 8)[(other >> 33) * 9 % 4000], rnd.rand(4000) < 0.5
+    expected = []
+    for r in range(9):
+        best = {}
+        for o, s, f in zip(other[row == r].tolist(), sim[row == r].tolist(), flag[row == r].tolist()):
+            best[o] = min(best.get(o, (f, s)), (f, s))
+        ranked = sorted((-s, o, f) for o, (f, s) in best.items())[:20]
+        expected += [(r, place, o, -s, f) for place, (s, o, f) in enumerate(ranked)]
+    assert list(zip(*(x.tolist() for x in nndescent._ranked(row, other, sim, flag, 20)))) == expected
+
+
+def test_shuffles_go_with_the_write(spark, tmp_path):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    with files.shuffles_removed(spark):
+        spark.range(1000).repartition(3, "id").write.parquet(f"{tmp_path}/rows")
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 1000
+
+
 def test_every_item_is_laid_over_every_document(spark):
     """Seeds against all pairs: what aligns to half of an item or more is found."""
     items = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
