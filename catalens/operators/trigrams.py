@@ -12,8 +12,14 @@ Parts are dealt to tasks one by one, not by blocks, so what a task reads stays a
 a few parts however many rows there are. A list is at most a part long, so a trigram that a
 third of all texts have spreads over all parts. The lists of a few parts each lie in a file,
 ordered by column and trigram, in small row groups: no task has all lists of a frequent
-trigram, and a search reads few row groups of a file. On the driver are the phrase's trigrams with their counts, and the
-numbers of parts that a search is left with, up to MANY.
+trigram, and a search reads few row groups of a file. A list may lie in
+pieces, one for every few megabytes of text, which a search puts together: parts of long texts
+are dealt to several files. On the driver are the
+phrase's trigrams with their counts, and the numbers of parts that a search is left with, up to MANY.
+
+An index is built in three writes: the rows as they come, the rows dealt by part, and the
+lists. A task makes the lists of its parts from their texts, so lists are never shuffled, and
+what a write has shuffled is removed with its end.
 """
 
 from __future__ import annotations
@@ -29,21 +35,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalens.sources.files import materialise
+from catalens.sources.files import materialise, remove, shuffles_removed
 
 PART_ROWS, PARTS_A_BLOCK = 1 << 16, 64
-#: Parts whose lists go into one file, on the average; bytes of a row group of lists.
-PARTS_A_FILE, LIST_GROUP = 4, 8 << 20
+#: Parts whose lists go into one file, and bytes of their texts, on the average; bytes of a row group of lists.
+PARTS_A_FILE, TEXT_A_FILE, LIST_GROUP = 4, 32 << 20, 8 << 20
 #: Trigrams of a phrase that are looked up, the rarest first.
 RAREST = 4
 #: Parts beyond which a search names no single ones any more, but reads all rows of the candidates' join.
 MANY = 10_000
-_SLICE = 4 << 20
+#: Bytes of text, and texts, whose lists are made at once.
+_SLICE, _TEXTS = 4 << 20, 1 << 20
 POSTINGS = T.StructType([
     T.StructField("column", T.IntegerType()), T.StructField("gram", T.IntegerType()), T.StructField("part", T.IntegerType()),
-    T.StructField("ids", T.ArrayType(T.LongType())),
+    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType()),
 ])
-_STORED = T.StructType([*POSTINGS, T.StructField("n", T.IntegerType())])
 
 
 def grams_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,21 +75,38 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together, up to about _SLICE bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= _SLICE or sum(b.num_rows for b in held) >= _TEXTS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _lists(column: int, part: np.ndarray, ids: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
-    """A row of POSTINGS per trigram and part of a run of texts."""
+    """A row of POSTINGS per trigram and part of a run of texts, which come by part and id."""
     text, gram = grams_of(texts)
-    order = np.lexsort((ids[text], gram, part[text]))
-    parts, grams, owners = part[text][order], gram[order], ids[text][order]
-    new_list = np.ones(len(order), bool)
-    new_list[1:] = (parts[1:] != parts[:-1]) | (grams[1:] != grams[:-1])
+    bits = len(texts).bit_length()
+    numbers, rank = np.unique(part, return_inverse=True)
+    key = np.unique((rank[text].astype(np.int64) << 24 | gram) << bits | text)
+    text = key & ((1 << bits) - 1)
+    key >>= bits
+    owners = ids[text]
+    new_list = np.ones(len(key), bool)
+    new_list[1:] = key[1:] != key[:-1]
     new = new_list.copy()
     new[1:] |= owners[1:] != owners[:-1]
-    parts, grams, owners, new_list = parts[new], grams[new], owners[new], new_list[new]
-    at = np.flatnonzero(new_list)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(owners)), pa.int32()), pa.array(owners, pa.int64()))
+    key, owners, new_list = key[new], owners[new], new_list[new]
+    at = np.append(np.flatnonzero(new_list), len(owners))
+    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(owners, pa.int64()))
+    key = key[at[:-1]]
+    values = (np.full(len(key), column), key & 0xFFFFFF, numbers[key >> 24])
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(at), column), pa.int32()), pa.array(grams[at], pa.int32()), pa.array(parts[at], pa.int32()), lists],
-        names=POSTINGS.names,
+        [*(pa.array(x, pa.int32()) for x in values), lists, pa.array(np.diff(at), pa.int32())], names=POSTINGS.names
     )
 
 
@@ -109,17 +132,19 @@ class TrigramIndex:
         _, grams = grams_of(pa.array([phrase.lower()]))
         if not len(grams):
             return self._all()
-        postings = self.spark.read.schema(_STORED).parquet(f"{self.folder}/postings").where(F.col("column") == self.columns.index(column))
+        postings = self.spark.read.schema(POSTINGS).parquet(f"{self.folder}/postings").where(F.col("column") == self.columns.index(column))
         wanted = np.unique(grams).tolist()
         counts = postings.where(F.col("gram").isin(wanted)).groupBy("gram").agg(F.sum("n").alias("n"))
         counts = sorted((r["n"], r["gram"]) for r in counts.collect())
         if len(counts) < len(wanted):
             return self._all().limit(0)
         rarest = [gram for _, gram in counts[:RAREST]]
-        lists = postings.where(F.col("gram").isin(rarest)).groupBy("part").agg(F.collect_list("ids").alias("lists"))
+        whole = postings.where(F.col("gram").isin(rarest)).groupBy("part", "gram").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+        lists = whole.groupBy("part").agg(F.collect_list("ids").alias("lists"))
         lists = lists.where(F.size("lists") == len(rarest))
         common = F.aggregate("lists", F.get("lists", F.lit(0)), F.array_intersect)
-        found = materialise(lists.select("part", F.explode(common).alias("_id")), f"{self.folder}/found/{uuid.uuid4().hex}")
+        with shuffles_removed(self.spark):
+            found = materialise(lists.select("part", F.explode(common).alias("_id")), f"{self.folder}/found/{uuid.uuid4().hex}")
         parts = [r["part"] for r in found.select("part").distinct().limit(MANY + 1).collect()]
         rows = self.rows
         if len(parts) <= MANY:
@@ -132,25 +157,29 @@ def build(rows: DataFrame, columns: tuple[str, ...], folder: str, part_rows: int
     """Write the rows (with a whole-number `id`, as in the clean table; rows without one are
     left out) and the posting lists of the text columns."""
     spark = rows.sparkSession
-    rows = rows.where(F.col("id").isNotNull())
-    parts = max(1, -(-rows.count() // part_rows))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    placed = rows.withColumn("_part", part).withColumn("_block", F.floor(F.col("_part") / PARTS_A_BLOCK).cast("int"))
-    placed = placed.repartition(parts, "_part").sortWithinPartitions("_block", "_part", "id")
-    placed.write.partitionBy("_block").option("compression", "zstd").parquet(f"{folder}/rows")
-    stored = spark.read.schema(placed.schema).parquet(f"{folder}/rows").select("_part", F.col("id").cast("long"), *[F.lower(c).alias(c) for c in columns])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for number in range(len(columns)):
-                texts = batch.column(2 + number)
-                for a, b in _slices(texts):
-                    yield _lists(number, part[a:b], ids[a:b], texts.slice(a, b - a))
-
-    # A part's rows lie together, so its lists come in few pieces.
-    pieces = stored.mapInArrow(run, POSTINGS).groupBy("column", "gram", "part")
-    lists = pieces.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids")).withColumn("n", F.size("ids"))
-    lists = lists.repartition(-(-parts // PARTS_A_FILE), "part").sortWithinPartitions("column", "gram", "part")
-    lists.write.options(**{"compression": "zstd", "parquet.block.size": LIST_GROUP}).parquet(f"{folder}/postings")
+    with shuffles_removed(spark):
+        made = materialise(rows.where(F.col("id").isNotNull()), f"{folder}/made")
+        count, size = made.agg(F.count("*"), F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in columns))).first()
+        parts = max(1, -(-count // part_rows))
+        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+        placed = made.withColumn("_part", part).withColumn("_block", F.floor(F.col("_part") / PARTS_A_BLOCK).cast("int"))
+        placed = placed.repartition(parts, "_part").sortWithinPartitions("_block", "_part", "id")
+        placed.write.partitionBy("_block").option("compression", "zstd").parquet(f"{folder}/rows")
+        remove(spark, f"{folder}/made")
+        stored = spark.read.schema(placed.schema).parquet(f"{folder}/rows").select("_part", F.col("id").cast("long"), *[F.lower(c).alias(c) for c in columns])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _joined(batches):
+                part, ids = np.asarray(table.column(0)), np.asarray(table.column(1))
+                for number in range(len(columns)):
+                    texts = pa.concat_arrays(table.column(2 + number).chunks) if table.num_rows else pa.array([], pa.string())
+                    for a, b in _slices(texts):
+                        yield _lists(number, part[a:b], ids[a:b], texts.slice(a, b - a))
+
+        share = max(1, (size or 0) // parts)
+        together, pieces = min(PARTS_A_FILE, max(1, TEXT_A_FILE // share)), -(-share // TEXT_A_FILE)
+        file = F.floor(F.col("_part") / together) * pieces + F.pmod(F.xxhash64("id", F.lit(pieces)), F.lit(pieces))
+        dealt = stored.repartitionById(-(-parts // together) * pieces, file.cast("int")).sortWithinPartitions("_part", "id")
+        lists = dealt.mapInArrow(run, POSTINGS).sortWithinPartitions("column", "gram", "part")
+        lists.write.options(**{"compression": "zstd", "parquet.block.size": LIST_GROUP}).parquet(f"{folder}/postings")
     return TrigramIndex(spark, folder, tuple(columns), placed.schema)

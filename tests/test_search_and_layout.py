@@ -1,6 +1,7 @@
 """Trigram search, exact most frequent values, and the clustered layout."""
 
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -60,6 +61,42 @@ def test_no_task_writes_many_parts_or_lists(spark, tmp_path):
     assert containing(index.candidates("title", "war 63"), "title", "war 63").count() == 111
 
 
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+
+def test_an_index_leaves_its_lists_and_rows_only(spark, tmp_path):
+    """What was shuffled and the rows as they came are gone."""
+    rows = spark.range(4000).repartition(5).select("id", F.concat(F.lit("star wars "), F.sha1(F.col("id").cast("string"))).alias("title"))
+    before = shuffle_files(spark)
+    index = trigrams.build(rows, ("title",), f"{tmp_path}/once", part_rows=500)
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert {p.name for p in Path(f"{tmp_path}/once").iterdir()} == {"rows", "postings"}
+    assert containing(index.candidates("title", "wars 0a"), "title", "wars 0a").count() == containing(rows, "title", "wars 0a").count() > 0
+
+
+def test_lists_of_long_texts_come_in_pieces(spark, tmp_path, monkeypatch):
+    """Texts of one part beyond what is made at once: a search puts the pieces together."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda i: F.md5(F.concat_ws("-", "key", i))), " ")
+    rows = spark.range(60).withColumn("key", F.col("id") % 55).select("id", words.alias("title"))
+    rows = rows.unionByName(rows.where("id < 3"))  # ids may repeat
+    index = trigrams.build(rows, ("title",), f"{tmp_path}/long")
+    lists = spark.read.parquet(f"{index.folder}/postings")
+    assert lists.groupBy("gram", "part").count().agg(F.max("count")).first()[0] >= 2
+    monkeypatch.setattr(trigrams, "TEXT_A_FILE", 2 << 20)
+    index = trigrams.build(rows, ("title",), f"{tmp_path}/longer")
+    assert spark.read.parquet(f"{index.folder}/postings").select(F.input_file_name()).distinct().count() >= 4  # by several tasks
+    phrase = rows.where("id = 58").first()["title"][70:90]  # also in row 3
+    found = containing(index.candidates("title", phrase), "title", phrase)
+    assert sorted(r["id"] for r in found.select("id").collect()) == [3, 58]
+    assert sorted(r["id"] for r in index.candidates("title", "0 1").select("id").collect()) == sorted([*range(60), 0, 1, 2])
+
+
 def test_an_index_of_nothing(spark, texts, tmp_path):
     none = trigrams.build(texts.limit(0), ("title",), f"{tmp_path}/none")
     assert none.candidates("title", "war").count() == 0
