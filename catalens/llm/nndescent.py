@@ -92,7 +92,7 @@ def points_of(rows: DataFrame, kept: int) -> DataFrame:
         T.StructField("point", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("ids", T.ArrayType(T.LongType())),
     ])
     grouped = grouped.select(F.monotonically_increasing_id().alias("point"), F.col("v").alias("vector"), "ids")
-    return materialise(_packed(grouped, schema, 1))
+    return _stored(_packed(grouped, schema, 1))
 
 
 #: Points, and queries, to a bucket on the average; pairs that are measured at once.
@@ -182,7 +182,7 @@ def _only(rows: DataFrame, *columns: int) -> DataFrame:
 
 
 def _stored(rows: DataFrame) -> DataFrame:
-    """A round's or step's blocks; what it shuffled goes from the executors' disks with its end."""
+    """The rows, written; what that shuffled goes from the executors' disks with its end."""
     with shuffles_removed(rows.sparkSession):
         return materialise(rows)
 
@@ -259,7 +259,9 @@ def _start(points: DataFrame, size: int, dimension: int, buckets: int) -> DataFr
                 yield _deal(0, bucket_of(point, buckets), [point, half, *none])
 
     dealt = leaves.select("leaf", "chunk", "point", "half").repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk")
-    return _merge(points.select("point", "vector").mapInArrow(place, BLOCK), dealt.mapInArrow(join, BLOCK), dimension, buckets)
+    graph = _merge(points.select("point", "vector").mapInArrow(place, BLOCK), dealt.mapInArrow(join, BLOCK), dimension, buckets)
+    discard(coded)
+    return graph
 
 
 def _halves(column) -> np.ndarray:
@@ -557,7 +559,7 @@ def nearest(index: Index, embeddings: DataFrame, wanted: DataFrame, k: int = 5)
     rows = valid(wanted).select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("vector"))
     rows = materialise(_packed(rows.where(F.size("vector") == index.dimension), schema, 2))
     own = index.points.select("vector", F.col("point").alias("own"))
-    found = search(index, materialise(rows.join(own, "vector", "left").select("query", "vector", "own")), k)
+    found = search(index, _stored(rows.join(own, "vector", "left").select("query", "vector", "own")), k)
     pairs = found.join(rows.select("query", "query_id"), "query").join(index.points.select("point", F.col("vector").alias("other"), "ids"), "point")
     out = T.StructType([
         T.StructField("query", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType()),
